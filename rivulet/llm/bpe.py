@@ -13,7 +13,9 @@ taken whole; repeated rows are answered row by row; further columns pass through
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -25,8 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words that a worker remembers; beyond that it starts anew. Bounds memory only, never results.
-CACHE_WORDS = 200_000
-_BREAK = "\x00"
+CACHE_WORDS = 400_000
 
 
 class OffsetTable:
@@ -59,11 +60,9 @@ class BpeCodec:
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         self.nfc, self.fold = "NFC" in kinds, "Lowercase" in kinds
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        # White space as Unicode defines it; Python's \s also has the separators 1C to 1F.
-        spaces = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", f"[^{spaces}")).findall
+        self.pieces = _splitter(split["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special_at = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
+        self.special_at = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
         self.byte_char = _byte_chars()
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self._build(merges)
@@ -96,7 +95,6 @@ class BpeCodec:
                 continue
             self.pair[left, right] = (rank, whole)
             self.parts.setdefault(whole, (rank, left, right))
-        self.able: dict[tuple[int, int], bool] = {}
         self.automaton = ahocorasick.Automaton()
         self.single = {s: self.vocab[n] for n, s in symbols.items() if len(s) == 1}
         for name, s in symbols.items():
@@ -142,82 +140,84 @@ class BpeCodec:
 
     def encode_symbols(self, s: str) -> list[int]:
         """Token ids of one word given as symbols."""
-        at: list[list[tuple[int, int]]] = [[] for _ in s]
-        for end, (size, i) in self.automaton.iter(s):
-            at[end - size + 1].append((size, i))
-        able, n = self.able, len(s)
+        n = len(s)
+        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        for end, match in self.automaton.iter(s):
+            at[end - match[0] + 1].append(match)
+        able = self.able
+        # First without stepping back: the longest match at every place, as long as neighbours agree.
+        pos, last, out = 0, -1, []
+        while pos < n:
+            if not at[pos]:
+                raise ValueError("a symbol is missing from the vocabulary")
+            size, token = at[pos][-1]
+            if last >= 0 and not able[last, token]:
+                return self._step_back(at, n)
+            out.append(token)
+            last = token
+            pos += size
+        return out
+
+    def _step_back(self, at: list[list[tuple[int, int]]], n: int) -> list[int]:
+        able = self.able
         dead = bytearray(n + 1)
         out: list[tuple[int, int]] = []  # (start, place in at[start])
-        pos = 0
-        choice = len(at[0]) - 1 if n else -1
+        pos, choice = 0, len(at[0]) - 1
         while pos < n:
-            found = -1
             here = at[pos]
             last = at[out[-1][0]][out[-1][1]][1] if out else -1
             while choice >= 0:
                 size, token = here[choice]
-                if not dead[pos + size]:
-                    if last < 0:
-                        found = choice
-                        break
-                    ok = able.get((last, token))
-                    if ok is None:
-                        if len(able) > 2_000_000:
-                            able.clear()
-                        ok = able[last, token] = self._compatible(last, token)
-                    if ok:
-                        found = choice
-                        break
+                if not dead[pos + size] and (last < 0 or able[last, token]):
+                    break
                 choice -= 1
-            if found >= 0:
-                out.append((pos, found))
-                pos += here[found][0]
+            if choice >= 0:
+                out.append((pos, choice))
+                pos += here[choice][0]
                 choice = len(at[pos]) - 1 if pos < n else -1
             else:
                 dead[pos] = 1
-                if not out:
-                    raise ValueError("a symbol is missing from the vocabulary")
                 pos, choice = out.pop()
                 choice -= 1
         return [at[p][c][1] for p, c in out]
 
     def forget(self) -> None:
-        self.number: dict[str, int] = _Numbers(self._learn)
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.flat_at = np.zeros(1 << 14, np.int64)
-        self.known = 0
-
-    def _learn(self, word: str) -> int:
-        chars = "".join(map(self.byte_char.__getitem__, word.encode()))
+        self.number: dict[str, int] = _Made(self._learn)
+        self.ids: dict[str, list[int]] = _Made(self._encode_word)
+        self.able: dict[tuple[int, int], bool] = _Made(lambda pair: self._compatible(*pair))
+        self.flat = array("i")
+        self.flat_at = array("q", [0])
+
+    def _learn(self, chunk: str) -> int:
+        """Stores the ids of a chunk of text and returns its number."""
+        for word in [chunk] if chunk.isascii() and chunk.isalpha() else self.pieces(chunk):
+            self.flat.extend(self.ids[word])
+        self.flat_at.append(len(self.flat))
+        return len(self.flat_at) - 2
+
+    def _encode_word(self, word: str) -> list[int]:
+        chars = word if word.isascii() and word.isprintable() else "".join(map(self.byte_char.__getitem__, word.encode()))
         if self.suffix:
             chars = chars[:-1] + chr(ord(chars[-1]) + 0xE000)
-        ids = self.encode_symbols(chars)
-        k = self.known
-        start = int(self.flat_at[k])
-        if start + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
-        if k + 2 > len(self.flat_at):
-            self.flat_at = np.concatenate([self.flat_at, np.zeros(len(self.flat_at), np.int64)])
-        self.flat[start : start + len(ids)] = ids
-        self.flat_at[k + 1] = start + len(ids)
-        self.known = k + 1
-        return k
+        return self.encode_symbols(chars)
 
     def _encode_piece(self, text: str) -> np.ndarray:
         if self.nfc and not text.isascii():
             text = unicodedata.normalize("NFC", text)
         if self.fold:  # character by character: no final sigma
             text = text.replace("Σ", "σ").lower()
-        words = self.words(text)
-        if self.known > CACHE_WORDS:
+        # No piece crosses white space, so what stands between is split once and then remembered.
+        words = [text] if _SEPARATORS(text) else text.split()
+        if max(len(self.number), len(self.ids), len(self.able)) > CACHE_WORDS:
             self.forget()
         which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        start = self.flat_at[which]
-        size = self.flat_at[which + 1] - start
-        end = np.cumsum(size)
-        if not len(end):
+        if not len(which):
             return np.zeros(0, np.int32)
-        return self.flat[np.arange(end[-1]) + np.repeat(start - (end - size), size)]
+        offset, flat = np.frombuffer(self.flat_at, np.int64), np.frombuffer(self.flat, np.int32)
+        start = offset[which]
+        size = offset[which + 1] - start
+        end = np.cumsum(size)
+        return flat[np.arange(end[-1]) + np.repeat(start - (end - size), size)]
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -236,13 +236,25 @@ class BpeCodec:
         return self.decimals.gather(ids)[:-1]
 
 
-class _Numbers(dict):
-    def __init__(self, learn: Callable[[str], int]):
-        self.learn = learn
+class _Made(dict):
+    """A memory of a function's results."""
+
+    def __init__(self, make: Callable):
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
+#: Separators that str.split() drops and Unicode's white space lacks.
+_SEPARATORS = re.compile("[\x1c-\x1f]").search
+
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = self.learn(word)
-        return n
+def _splitter(pattern: str) -> Callable[[str], list[str]]:
+    """The splitting pattern, with white space as Unicode defines it."""
+    spaces = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    return regex.compile(pattern.replace(r"[^\s", f"[^{spaces}")).findall
 
 
 def _byte_chars() -> list[str]:
