@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import op01
+from rivulet.llm import op01, op07
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**op01.QUERIES}
-ORACLES: dict[str, str] = {}
+_ALL = (op01, op07)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _ALL for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in _ALL for k, v in getattr(m, "ORACLES", {}).items()}
