@@ -3,8 +3,8 @@
 Every document's set of shingles is cut by hash into parts, and the hashes in each part are XOR-ed: a sketch whose
 number of differing parts bounds the symmetric difference from below. Two sets with Jaccard index J >= s and sizes a,
 b differ in at most (a+b)(1-s)/(1+s) shingles, so with more non-empty parts than that at least one non-empty part is equal.
-Documents meet on equal parts, per band of sizes; survivors of a size test and of a 1024-bit parity sketch (XOR of
-one bit per shingle; Hamming distance against the same bound) are verified on their whole sets.
+Documents meet on equal parts, per band of sizes; survivors of a size test and of a parity sketch (XOR of one
+bit per shingle, in 1024 bits or more; Hamming distance against the same bound) are verified on their whole sets.
 
 How it stays bounded. Equal sets count as one. Python tasks pack (part key, document) entries into blobs by bucket; a key
 that several documents of one batch share goes there once, and these documents' rows travel apart, dealt at random. Only keys
@@ -102,8 +102,14 @@ def part_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """1024 parity bits as 16 longs."""
-    return np.packbits((np.bincount((s & _U(1023)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view(np.int64)
+    """Parity bits as longs: 1024 or, for larger sets, the power of two from twice their size on."""
+    width = max(1024, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & _U(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).view(np.int64)
+
+
+def folded(sketch: np.ndarray, longs: int) -> np.ndarray:
+    """A shorter sketch of the same set: parities of equal remainders are XOR-ed."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, longs), 0)
 
 
 def identity(s: np.ndarray) -> tuple[int, int]:
@@ -221,22 +227,31 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows(k[at : at + 100_000], n[at : at + 100_000])
 
 
-def _distance(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
 def _possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that pass the tests on sizes and parity sketches."""
     f = facts.select("rep", "n", "sketch")
-    x = f.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("asketch"))
-    y = f.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bsketch"))
+    x = f.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("x"))
+    y = f.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("y"))
     both = pairs.join(x, "a").join(y, "b").where((100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")))
-    bound = F.floor((F.col("an") + F.col("bn")) * (100 - percent) / (100 + percent))
-    return both.where(_distance("asketch", "bsketch") <= bound).select("a", "b")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for m, n, x, y in zip(b.column("an").to_pylist(), b.column("bn").to_pylist(), b.column("x"), b.column("y")):
+                p, q = x.values.to_numpy(), y.values.to_numpy()
+                size = min(len(p), len(q))
+                far = int(np.bitwise_count((folded(p, size) ^ folded(q, size)).view(_U)).sum())
+                keep.append(far <= (m + n) * (100 - percent) // (100 + percent))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "an", "bn", "x", "y").mapInArrow(run, "a long, b long")
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets have the Jaccard index."""
+
+def _verified(source: DataFrame, pairs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose whole sets have the Jaccard index. Only members of pairs send their sets."""
+    pairs = stored(pairs, "jaccard-pairs")
+    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    sets = stored(_sets(source, members.join(wanted, "rep", "left_semi").select("rep", "h1", "h2", "first_id"), size), "jaccard-sets")
     a = sets.select(F.col("rep").alias("a"), F.col("packed").alias("pa"))
     b = sets.select(F.col("rep").alias("b"), F.col("packed").alias("pb"))
 
@@ -259,7 +274,13 @@ def _tested(percent: int):
 
     def pairs(rows: pa.Table) -> pa.RecordBatch | None:
         col = {c: rows.column(c).to_numpy() for c in ("key", "lo", "hi", "block", "rep", "n", "comp")}
-        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, 16).view(_U)
+        lists = rows.column("sketch").combine_chunks()
+        flat, cut = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        sketch = np.empty((len(lists), 16), np.int64)
+        for size in np.unique(np.diff(cut)):
+            here = np.flatnonzero(np.diff(cut) == size)
+            sketch[here] = np.bitwise_xor.reduce(flat[(cut[here][:, None] + np.arange(size)).ravel()].reshape(len(here), -1, 16), 1)
+        sketch = sketch.view(_U)
         new = np.concatenate([[True], (col["key"][1:] != col["key"][:-1]) | (col["lo"][1:] != col["lo"][:-1]) | (col["hi"][1:] != col["hi"][:-1])])
         group = np.cumsum(new)
         within, rep, n, comp, block = col["lo"] == col["hi"], col["rep"], col["n"], col["comp"], col["block"]
@@ -310,29 +331,30 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
     reps = facts.groupBy("h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.min("id").alias("first_id"))
     docs = stored(facts.join(reps, ["h1", "h2"]).select("node", "id", "n", "h1", "h2", "rep", "first_id", F.when(F.col("node") == F.col("rep"), F.col("sketch")).alias("sketch")), "jaccard-docs")
     mates = met.where("key IS NOT NULL").select("key", "node").join(docs.select("node", "rep"), "node").groupBy("key", "rep").agg(F.lit(1).alias("one"))
-    counts = mates.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    mates = stored(mates.join(counts, "key").select("key", "rep", "m"), "jaccard-groups")
+    # Keys with equal members make one group: members are compared by two sums over their hashes.
+    signs = [F.bit_xor(F.xxhash64("rep")).alias("s1"), F.sum(F.shiftrightunsigned(F.xxhash64("rep", F.lit(1)), 24)).alias("s2")]
+    counts = mates.groupBy("key").agg(F.count("*").alias("m"), *signs).where("m > 1")
+    counts = counts.groupBy("m", "s1", "s2").agg(F.min("key").alias("key"), F.count("*").alias("keys"))
+    mates = stored(mates.join(counts.select("key", "m", "keys"), "key").select("key", "rep", "m", "keys"), "jaccard-groups")
 
     # Each group's hub is the member that meets most others.
-    degree = mates.groupBy("rep").agg(F.sum("m").alias("deg"))
-    placed = mates.join(degree, "rep")
+    degree = mates.groupBy("rep").agg(F.sum(F.col("m") * F.col("keys")).alias("deg"))
+    placed = mates.select("key", "rep").join(degree, "rep")
     hubs = placed.groupBy("key").agg(F.max(F.struct("deg", F.negative("rep").alias("minus"))).alias("best")).select("key", F.negative("best.minus").alias("hub"))
     stars = placed.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     members = docs.where("sketch IS NOT NULL").join(degree.select("rep"), "rep", "left_semi")
     members = stored(members.select("rep", "n", "h1", "h2", "sketch", "first_id"), "jaccard-members")
-    sets = stored(_sets(source, members, size), "jaccard-sets")
-    links = stored(_verified(_possible(stars, members, percent), sets, percent), "jaccard-links")
+    links = stored(_verified(source, _possible(stars, members, percent), members, size, percent), "jaccard-links")
     first = components(links)
 
-    # What the hubs left apart: groups that still hold several components.
+    # What the hubs left apart: groups that still hold several components. A pair's only link was tried already.
     named = mates.select("key", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    # A pair's only link was tried already.
     apart = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi AND m > 2").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
     rest = named.join(apart, "key").join(members.select("rep", "n", "sketch"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "n", "comp", "sketch")
     dealt = dealt.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     more = dealt.mapInArrow(_tested(percent), "a long, b long").distinct()
-    late = _verified(more, sets, percent)
+    late = _verified(source, _possible(more, members, percent), members, size, percent)
     final = components(links.unionByName(late))
     named = docs.select("id", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
@@ -341,9 +363,9 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(lonely, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _places(ids: np.ndarray, h1: np.ndarray) -> list[np.ndarray]:
-    """Bits of the filter that stand for a document."""
-    x = mix64(h1.view(_U) ^ mix64(ids.view(_U)))
+def _places(ids: np.ndarray) -> list[np.ndarray]:
+    """Bits of the filter that stand for a document's id."""
+    x = mix64(ids.view(_U))
     return [mix64(x + _U(i + 1)) % _U(FILTER_BITS) for i in range(FILTER_HASHES)]
 
 
@@ -354,7 +376,7 @@ def _ids(column: pa.Array) -> np.ndarray:
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(FILTER_BITS, bool)
     for b in batches:
-        for at in _places(_ids(b.column("first_id")), _ids(b.column("h1"))):
+        for at in _places(_ids(b.column("first_id"))):
             bits[at] = True
     words = np.packbits(bits).view(np.int64)
     at = np.flatnonzero(words)
@@ -363,7 +385,7 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(source: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """(rep, packed): the whole sets of the members, from their texts. A filter of fixed size keeps most others out."""
-    words = members.select("first_id", "h1").mapInArrow(_words_of, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    words = members.select("first_id").mapInArrow(_words_of, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
     mask = np.zeros(FILTER_BITS // 64, np.int64)
     for r in words.collect():  # FILTER_BITS / 64 rows at most
         mask[r["word"]] = r["mask"]
@@ -373,13 +395,12 @@ def _sets(source: DataFrame, members: DataFrame, size: int) -> DataFrame:
         bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
         for b in batches:
             ids = _ids(b.column("_id"))
+            maybe = np.logical_and.reduce([bits[p] for p in _places(ids)])
             out = []
-            for i, t in zip(ids, b.column("_text")):
-                s = shingles(t.as_py(), size)
+            for row in np.flatnonzero(maybe).tolist():
+                s = shingles(b.column("_text")[row].as_py(), size)
                 if len(s):
-                    h = identity(s)
-                    if all(bits[p[0]] for p in _places(np.array([i]), np.array([h[0]]))):
-                        out.append((i, *h, pack(s)))
+                    out.append((int(ids[row]), *identity(s), pack(s)))
             for at in range(0, len(out), 500):
                 part = list(zip(*out[at : at + 500]))
                 yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.binary())], ["_id", "h1", "h2", "packed"])
