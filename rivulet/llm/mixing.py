@@ -50,9 +50,9 @@ def targets(sizes: DataFrame, source: str, weights: tuple[float, ...] = WEIGHTS,
     order = Window.orderBy(F.col("_cap") / F.col("_w"), F.col(source).asc_nulls_last())
     before, here_on, all_rows = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy(F.lit(1))
     level = (F.sum("source_size").over(all_rows) * F.lit(share) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(here_on)
-    levels = capped.withColumn("_level", level)
-    final = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(all_rows)
-    first = levels.withColumn("_final", final)
+    levels = capped.withColumn("_level", level).withColumn("_n", F.row_number().over(order))
+    final = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.struct("_n", "_level"))).over(all_rows)
+    first = levels.withColumn("_final", final["_level"])
     return first.select(source, "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_final"), F.lit(float("inf"))) * F.col("_w")).alias("target"))
 
 

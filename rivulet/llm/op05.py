@@ -22,8 +22,9 @@ WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text,
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighted AS (SELECT *, ([3.0::DOUBLE, 1.0, 2.0])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w, source_size * 2.0::DOUBLE AS cap FROM sums),
 levels AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
- / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM weighted),
-final AS (SELECT *, min(CASE WHEN lv * w <= cap THEN lv END) OVER () AS fl FROM levels),
+ / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS rn FROM weighted),
+below AS (SELECT *, min(CASE WHEN lv * w <= cap THEN rn END) OVER () AS "at" FROM levels),
+final AS (SELECT *, max(CASE WHEN rn = "at" THEN lv END) OVER () AS fl FROM below),
 goal AS (SELECT source, source_size, least(cap, coalesce(fl, 'inf'::DOUBLE) * w) AS target FROM final),
 goal2 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS f FROM goal),
 goal3 AS (SELECT *, floor(f) AS sure, f - floor(f) AS p, target - floor(f) * source_size AS rest FROM goal2),
