@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 # Patterns in the order in which they apply, in a syntax that Java, Python and RE2 share.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(portions )?(copyright|\(c\)|©)[^\n]*"
 SPELLINGS = [
-    (r"\blicence", "license"),
+    (r"licence", "license"),
     (r"\bsub-license", "sublicense"),
     (r"\bcopyright-holder", "copyright holder"),
     (r"\bnon-infringement", "noninfringement"),

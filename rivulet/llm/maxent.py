@@ -115,10 +115,10 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, first, n = np.unique(t.hash, return_index=True, return_counts=True)
         held.append((u, t.bucket[first], n))
         size += len(u)
-        if size > 2_000_000:
+        if size > 1_000_000:
             held = [merged()]
             size = len(held[0][0])
-            if size > 1_000_000:
+            if size > 500_000:
                 yield from rows(*held[0])
                 held, size = [], 0
     if held:

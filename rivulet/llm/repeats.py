@@ -186,8 +186,12 @@ def _anchored(length: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, places, total, turn = [], [], [], 0, 0
+        done: set[int] = set()  # equal rows lie in one partition and count as one document
         for b in batches:
             for i, t in zip(b.column("_doc").to_pylist(), b.column("_text")):
+                if i in done:
+                    continue
+                done.add(i)
                 p, h, _ = anchors(np.frombuffer(utf8(t.as_py()), np.uint8), length)
                 if len(p):
                     keys.append(h)
@@ -252,8 +256,12 @@ def _snippets(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, turn = [], 0
+        done: set[int] = set()
         for b in batches:
             for d, o, t, want in zip(b.column("_doc").to_pylist(), b.column("_ord").to_pylist(), b.column("_text"), b.column("places")):
+                if d in done:
+                    continue
+                done.add(d)
                 text = utf8(t.as_py())
                 p, h, first = anchors(np.frombuffer(text, np.uint8), length)
                 stop = np.append(first[1:], len(text) - length + 1)
