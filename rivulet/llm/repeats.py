@@ -36,7 +36,6 @@ from rivulet.llm.common import mix64, prefix_hash, span_hash, utf8
 KMER, PIECE, INDEX_BYTES = 32, 1 << 22, 1 << 20
 #: Anchors that a task gathers before it writes them out.
 BATCH = 1_000_000
-BUCKETS_EACH = 16
 _U = np.uint64
 
 
@@ -77,7 +76,7 @@ class RunIndex:
         text = np.frombuffer(b"\x00".join([*strings, b""]), np.uint8).astype(np.int64) + len(strings)
         text[ends] = np.arange(len(strings))
         self.starts, self.n = np.cumsum(sizes) - sizes, len(text)
-        order, ranks = self._suffixes(text, len(strings) + 256)
+        order, ranks = self._suffixes(text, len(strings))
         left = np.where(order > 0, text[order - 1], -1)
         head = np.concatenate([[True], left[1:] != left[:-1]])
         at = np.flatnonzero(head)
@@ -90,26 +89,40 @@ class RunIndex:
         self.sampled, self.neighbour, self.match = here[by], other[by], match[by]
 
     @staticmethod
-    def _suffixes(text: np.ndarray, symbols: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-        """Suffixes in order by doubling, and the ranks at each depth. Ends differ, so no depth beyond a string is needed."""
-        bits = max(1, int(symbols - 1).bit_length())
-        depth = max(1, 62 // bits)
-        key = np.zeros(len(text), np.int64)
+    def _suffixes(text: np.ndarray, strings: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """Suffixes in order by doubling, and the ranks at each depth. Ends differ, so no depth beyond a string is needed.
+
+        The first depth packs symbols, ends as zero, and the number of the end that follows within it.
+        """
+        n = len(text)
+        used = np.flatnonzero(np.bincount(np.maximum(text - strings, -1) + 1, minlength=257)[1:])
+        dense = np.zeros(257, np.int64)
+        dense[used + 1] = np.arange(1, len(used) + 1)
+        symbol = dense[np.maximum(text - strings, -1) + 1]
+        bits, more = int(len(used)).bit_length(), int(strings).bit_length()
+        depth = max(1, (62 - more) // max(bits, 1))
+        key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
+        end = np.zeros(n, np.int64)
         for i in range(depth):
             key <<= bits
-            key[: len(text) - i] |= text[i:]
+            here = open_[: n - i]
+            key[: n - i] |= np.where(here, symbol[i:], 0)
+            ends = here & (symbol[i:] == 0)
+            end[: n - i] += np.where(ends, text[i:] + 1, 0)
+            open_[: n - i] &= ~ends
+        key = (key << more) | end
         ranks = []
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             k = key[order]
             new = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-            rank = np.empty(len(text), np.int64)
+            rank = np.empty(n, np.int64)
             rank[order] = new
             ranks.append((depth, rank))
-            if new[-1] == len(text) - 1:
+            if new[-1] == n - 1:
                 return order, ranks
-            key = rank * (len(text) + 1)
-            key[: len(text) - depth] += rank[depth:] + 1
+            key = rank * (n + 1)
+            key[: n - depth] += rank[depth:] + 1
             depth *= 2
 
     @staticmethod
@@ -161,7 +174,7 @@ class RunIndex:
         return out
 
 
-def _anchored(length: int, buckets: int):
+def _anchored(text: str, length: int, buckets: int):
     """Task: anchors to blobs by bucket; anchors shared within a batch have rows of their own, dealt at random."""
 
     def flush(keys: list, docs: list, places: list, turn: int) -> Iterator[pa.RecordBatch]:
@@ -188,7 +201,7 @@ def _anchored(length: int, buckets: int):
         keys, docs, places, total, turn = [], [], [], 0, 0
         done: set[int] = set()  # equal rows lie in one partition and count as one document
         for b in batches:
-            for i, t in zip(b.column("_doc").to_pylist(), b.column("_text")):
+            for i, t in zip(b.column("_doc").to_pylist(), b.column(text)):
                 if i in done:
                     continue
                 done.add(i)
@@ -234,44 +247,44 @@ def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(d[again], p[again])
 
 
-_MARK = ["part", "key", "_ord", "_doc", "start", "stop", "snippet"]
+_MARK = ["key", "_ord", "_doc", "start", "stop", "snippet"]
 
 
-def _snippets(length: int):
+def _snippets(text: str, length: int):
     """Task: the snippets of repeated anchors; those that stood earlier in the batch as marks already."""
 
-    def flush(found: list, turn: int) -> Iterator[pa.RecordBatch]:
+    def flush(found: list) -> Iterator[pa.RecordBatch]:
         found.sort(key=lambda r: r[:3])
         seen: set[tuple[int, bytes]] = set()
         rows = []
         for o, d, s, e, key, snippet in found:
             if (key, snippet) in seen:
-                rows.append((None, None, o, d, s, e, None))
+                rows.append((d ^ (s * 0x9E3779B1), o, d, s, e, None))  # known already: dealt anywhere
             else:
                 seen.add((key, snippet))
-                rows.append((0, key, o, d, s, e, snippet))
+                rows.append((key, o, d, s, e, snippet))
         for at in range(0, len(rows), 20_000):
             part = list(zip(*rows[at : at + 20_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), *(pa.array(part[i], pa.int64()) for i in (1, 2, 3, 4, 5)), pa.array(part[6], pa.binary())], _MARK)
+            yield pa.RecordBatch.from_arrays([*(pa.array(part[i], pa.int64()) for i in range(5)), pa.array(part[5], pa.binary())], _MARK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, turn = [], 0
+        found = []
         done: set[int] = set()
         for b in batches:
-            for d, o, t, want in zip(b.column("_doc").to_pylist(), b.column("_ord").to_pylist(), b.column("_text"), b.column("places")):
+            for d, o, t, want in zip(b.column("_doc").to_pylist(), b.column("_ord").to_pylist(), b.column(text), b.column("places")):
                 if d in done:
                     continue
                 done.add(d)
-                text = utf8(t.as_py())
-                p, h, first = anchors(np.frombuffer(text, np.uint8), length)
-                stop = np.append(first[1:], len(text) - length + 1)
+                x = utf8(t.as_py())
+                p, h, first = anchors(np.frombuffer(x, np.uint8), length)
+                stop = np.append(first[1:], len(x) - length + 1)
                 some = np.isin(p, want.values.to_numpy())
-                found.extend((o, d, s, e, k, text[s : e + length - 1]) for s, e, k in zip(first[some].tolist(), stop[some].tolist(), h[some].view(np.int64).tolist()))
+                found.extend((o, d, s, e, k, x[s : e + length - 1]) for s, e, k in zip(first[some].tolist(), stop[some].tolist(), h[some].view(np.int64).tolist()))
                 if len(found) > 200_000:
-                    yield from flush(found, turn)
-                    turn, found = turn + 1, []
+                    yield from flush(found)
+                    found = []
         if found:
-            yield from flush(found, turn)
+            yield from flush(found)
 
     return run
 
@@ -281,21 +294,34 @@ def _marked(length: int):
 
     def index(rows: pa.Table) -> pa.RecordBatch:
         o, d, s = (rows.column(c).to_numpy() for c in ("_ord", "_doc", "start"))
-        snippets = rows.column("snippet").to_pylist()
-        order = np.lexsort((s, d, o))
-        found = RunIndex([snippets[i] for i in order])
+        stop, snippets = rows.column("stop").to_numpy(), rows.column("snippet").to_pylist()
+        # Of equal snippets the first is indexed; all strings of the others have been seen in it.
+        firsts: dict[bytes, int] = {}
+        later = []
+        for i in np.lexsort((s, d, o)).tolist():
+            if firsts.setdefault(snippets[i], i) != i:
+                later.append(i)
+        order = np.fromiter(firsts.values(), np.int64, len(firsts))
+        found = RunIndex(list(firsts))
         bad = found.repeated(length)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], bad.view(np.int8), [0]])))
         begin, end = edge[::2], edge[1::2]
         which = np.searchsorted(found.starts, begin, side="right") - 1
         row = order[which]
         shift = s[row] - found.starts[which]
-        return pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(begin + shift), pa.array(end + shift)], ["_doc", "start", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[row], d[later]])), pa.array(np.concatenate([begin + shift, s[later]])), pa.array(np.concatenate([end + shift, stop[later]]))], ["_doc", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
         for b in batches:
+            known = b.column("snippet").is_null()
+            if known.true_count:
+                done = b.filter(known)
+                yield pa.RecordBatch.from_arrays([done.column(c) for c in ("_doc", "start", "stop")], ["_doc", "start", "stop"])
+                b = b.filter(b.column("snippet").is_valid())
+            if not b.num_rows:
+                continue
             held.append(b)
             size += b.column("snippet").nbytes
             if size < INDEX_BYTES:
@@ -317,23 +343,21 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
     """Appends spans: sorted, disjoint byte ranges (start, stop) of the text that are repeated."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = [c for c in df.columns if c != "spans"]
-    marked = df.select(*own).withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_ord", F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)))
-    marked = marked.withColumn("_doc", F.xxhash64("_ord", "_text")).withColumn("_same", F.struct(F.xxhash64("_text"), F.xxhash64("_text", F.lit(1)), F.octet_length("_text")))
+    own = [c for c in df.columns if c not in ("spans", "_ord", "_doc", "_same", "_first", "_marks")]
+    body = F.coalesce(F.col(text), F.lit(""))
+    named = df.select(*own).withColumn("_ord", F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))).withColumn("_doc", F.xxhash64("_ord", body))
     # The first document of each text; later copies take no part.
-    first = marked.groupBy("_same").agg(F.min(F.struct("_ord", "_doc")).alias("f")).select(F.col("f._doc").alias("_doc"), F.lit(True).alias("_first"))
-    texts = marked.drop("_same").repartition(parts, "_doc")
-    flagged = texts.join(first.hint("shuffle_hash"), "_doc", "left")
-    firsts = flagged.where("_first").select("_doc", "_ord", "_text")
-    blobs = firsts.select("_doc", "_text").mapInArrow(_anchored(length, parts * BUCKETS_EACH), "bucket int, keys binary, docs binary, places binary").repartition(parts, "bucket")
+    same = F.struct(F.xxhash64(body), F.xxhash64(body, F.lit(1)), F.octet_length(body))
+    first = named.groupBy(same.alias("_same")).agg(F.min(F.struct("_ord", "_doc")).alias("f")).select(F.col("f._doc").alias("_doc"), F.lit(True).alias("_first"))
+    # The one shuffle of texts. All that follows reads the same columns of it, so that it is reused.
+    columns = [*own, "_ord", "_doc"]
+    flagged = named.select(*columns).repartition(parts, "_doc").join(first.hint("shuffle_hash"), "_doc", "left")
+    firsts = flagged.where("_first").select(*columns)
+    blobs = firsts.mapInArrow(_anchored(text, length, parts), "bucket int, keys binary, docs binary, places binary").repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
     again = blobs.mapInArrow(_again, "_doc long, place int").groupBy("_doc").agg(F.collect_set("place").alias("places"))
-    found = firsts.join(again.hint("shuffle_hash"), "_doc").mapInArrow(_snippets(length), "part int, key long, _ord long, _doc long, start long, stop long, snippet binary")
-    from rivulet.functions.session import stored
-
-    found = stored(found, "snippets")
-    dealt = found.where("part IS NOT NULL").drop("part").repartition(parts, "key").sortWithinPartitions("key")
+    found = firsts.join(again.hint("shuffle_hash"), "_doc").select(*columns, "places").mapInArrow(_snippets(text, length), "key long, _ord long, _doc long, start long, stop long, snippet binary")
+    dealt = found.repartition(parts, "key").sortWithinPartitions("key")
     marks = dealt.mapInArrow(_marked(length), "_doc long, start long, stop long")
-    marks = marks.unionByName(found.where("part IS NULL").select("_doc", "start", "stop"))
     each = marks.groupBy("_doc").agg(F.collect_list(F.struct("start", "stop")).alias("_marks"))
     whole = flagged.join(each.hint("shuffle_hash"), "_doc", "left")
     keep = T.StructType([df.schema[c] for c in own])
@@ -341,7 +365,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = []
-            for t, is_first, m in zip(b.column("_text"), b.column("_first").to_pylist(), b.column("_marks").to_pylist()):
+            for t, is_first, m in zip(b.column(text), b.column("_first").to_pylist(), b.column("_marks").to_pylist()):
                 if not is_first:
                     n = len(utf8(t.as_py()))
                     spans.append([{"start": 0, "stop": n}] if n >= length else [])
@@ -351,7 +375,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
             yield pa.RecordBatch.from_arrays([b.column(f.name) for f in keep] + [made], names=[f.name for f in keep] + ["spans"])
 
     span = T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))
-    return whole.select(*own, "_text", "_first", "_marks").mapInArrow(finish, T.StructType([*keep, span]))
+    return whole.select(*columns, "_first", "_marks").mapInArrow(finish, T.StructType([*keep, span]))
 
 
 def joined(ranges: list[tuple[int, int]]) -> list[dict]:
