@@ -54,6 +54,10 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _keys(spark: SparkSession, *keys: str) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, keys))).alias("k"))
+
+
 EV = """ev AS (SELECT event_id AS seq, 'u' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS k,
  CASE WHEN event_type = 'error' THEN '*' ELSE props END AS v, ts AS created_at, event_type = 'error' AS is_tombstone FROM events)"""
 LOG = EV + """, sized AS (SELECT *, CAST(17 + octet_length(encode(k)) + octet_length(encode(v)) AS BIGINT) AS rec_size FROM ev),
@@ -82,7 +86,7 @@ def kv_get_latest_ties(spark, sf):
 @query(f"""WITH {EV}, {NEWEST.format(src='ev')}, probe AS (SELECT unnest(['u000001', 'u000007', 'u000042', 'u000100', 'no-such-key']) AS k)
 SELECT probe.k, n.v, n.k IS NOT NULL AS found FROM probe LEFT JOIN (SELECT * FROM newest WHERE NOT is_tombstone) n ON probe.k = n.k""")
 def kv_multi_get(spark, sf):
-    probes = spark.createDataFrame([(k,) for k in ("u000001", "u000007", "u000042", "u000100", "no-such-key")], "k string")
+    probes = _keys(spark, "u000001", "u000007", "u000042", "u000100", "no-such-key")
     return resolve.multi_get(events(spark, sf), probes).select("k", "v", "found")
 
 
@@ -154,7 +158,7 @@ def kv_run_overlap(spark, sf):
 @query(f"""WITH {RUNS}, probe AS (SELECT unnest(['p00000001', 'p00000004', 'p99999999']) AS k)
 SELECT probe.k, rs.run_id FROM probe JOIN rs ON probe.k >= rs.min_k AND probe.k <= rs.max_k""")
 def kv_run_candidates(spark, sf):
-    probes = spark.createDataFrame([("p00000001",), ("p00000004",), ("p99999999",)], "k string")
+    probes = _keys(spark, "p00000001", "p00000004", "p99999999")
     return runs.candidates(probes, item_runs(spark, sf)).select("k", "run_id")
 
 
@@ -176,7 +180,7 @@ def kv_block_index(spark, sf):
 @query(f"""WITH {BLOCKS}, probe AS (SELECT unnest(['p00000001', 'p00000150', 'p99999999']) AS k)
 SELECT probe.k, min(ix.block_id) AS block_id FROM probe LEFT JOIN ix ON ix.last_key >= probe.k GROUP BY probe.k""")
 def kv_index_lookup(spark, sf):
-    probes = spark.createDataFrame([("p00000001",), ("p00000150",), ("p99999999",)], "k string")
+    probes = _keys(spark, "p00000001", "p00000150", "p99999999")
     return runs.index_lookup(probes, item_index(spark, sf))
 
 
