@@ -39,7 +39,7 @@ SLOTS = 6
 ROUNDS = 2
 STEP = 0.25
 #: Tokens of a training batch, and bytes of text that are taken through the arrays at once.
-BATCH, BYTES = 16_384, 1 << 20
+BATCH, BYTES = 16_384, 1 << 19
 #: Tokens whose counts every task gets; a fixed bound.
 HEAD = 200_000
 END = np.uint64(0xE0E0E0E0E0E0E0E1)
@@ -115,10 +115,10 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, first, n = np.unique(t.hash, return_index=True, return_counts=True)
         held.append((u, t.bucket[first], n))
         size += len(u)
-        if size > 1_000_000:
+        if size > 600_000:
             held = [merged()]
             size = len(held[0][0])
-            if size > 500_000:
+            if size > 300_000:
                 yield from rows(*held[0])
                 held, size = [], 0
     if held:
