@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words that a worker remembers; beyond that it starts anew. Bounds memory only, never results.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 class OffsetTable:
@@ -269,7 +269,7 @@ def codec(path: str) -> BpeCodec:
     return BpeCodec(path)
 
 
-def _appended(df: DataFrame, fields: list[T.StructField], column: str, answer: Callable) -> DataFrame:
+def _appended(df: DataFrame, path: str, fields: list[T.StructField], column: str, answer: Callable) -> DataFrame:
     """df with columns computed from one column, batch by batch; new names replace equal old ones."""
     fresh = {f.name for f in fields}
     keep = [f for f in df.schema.fields if f.name not in fresh]
@@ -283,6 +283,7 @@ def _appended(df: DataFrame, fields: list[T.StructField], column: str, answer: C
             columns = [batch.column(f.name) for f in keep]
             made = answer(batch.column(column))
             yield pa.RecordBatch.from_arrays(columns + [pa.array(m, kinds.field(i).type) for i, m in enumerate(made)], names=[f.name for f in keep] + kinds.names)
+        codec(path).forget()  # workers outlive tasks; later ones of other operators need the memory
 
     return df.mapInArrow(run, T.StructType([*keep, *fields]))
 
@@ -294,7 +295,7 @@ def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> D
         c = codec(path)
         return [[c.encode(t.as_py()) for t in column]]
 
-    return _appended(df, [T.StructField(into, T.ArrayType(T.IntegerType()))], text, answer)
+    return _appended(df, path, [T.StructField(into, T.ArrayType(T.IntegerType()))], text, answer)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "text") -> DataFrame:
@@ -304,7 +305,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "text") -> Da
         c = codec(path)
         return [[c.decode(np.asarray(t.as_py() or [], np.int64)).decode() for t in column]]
 
-    return _appended(df, [T.StructField(into, T.StringType())], ids, answer)
+    return _appended(df, path, [T.StructField(into, T.StringType())], ids, answer)
 
 
 def round_trip(df: DataFrame, path: str, fields: list[T.StructField], digest: Callable[[BpeCodec, np.ndarray, bytes], tuple], text: str = "text") -> DataFrame:
@@ -321,4 +322,4 @@ def round_trip(df: DataFrame, path: str, fields: list[T.StructField], digest: Ca
             rows.append(digest(c, ids, c.decode(ids)))
         return list(zip(*rows)) if rows else [[] for _ in fields]
 
-    return _appended(df, fields, text, answer)
+    return _appended(df, path, fields, text, answer)

@@ -34,7 +34,7 @@ from rivulet.llm.components import components
 #: Documents of one block of a large group.
 BLOCK = 512
 #: Entries that a task gathers before it writes them out.
-BATCH_KEYS, BATCH_DOCS = 1_000_000, 60_000
+BATCH_KEYS, BATCH_DOCS = 400_000, 60_000
 BUCKETS_EACH = 16
 #: Bits of the filter that keeps sets without candidates out of the shuffle: a fixed size, at worst it keeps none out.
 FILTER_BITS, FILTER_HASHES = 1 << 23, 3
@@ -183,6 +183,9 @@ def _mapped(key: str, text: str, size: int, percent: int, buckets: int):
                         nodes.append(node)
                         total += len(k)
                 node += 1
+                if len(facts) >= 500:
+                    yield pa.RecordBatch.from_pylist(facts, schema=arrow)
+                    facts = []
                 if total >= BATCH_KEYS or len(nodes) >= BATCH_DOCS:
                     yield flush(keys, nodes, turn)
                     turn += total

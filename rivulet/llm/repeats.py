@@ -35,7 +35,7 @@ from rivulet.llm.common import mix64, prefix_hash, span_hash, utf8
 #: Bytes of an anchor, of a piece of a very long text, and of the text of one index.
 KMER, PIECE, INDEX_BYTES = 32, 1 << 22, 1 << 20
 #: Anchors that a task gathers before it writes them out.
-BATCH = 1_000_000
+BATCH = 500_000
 _U = np.uint64
 
 
@@ -280,7 +280,7 @@ def _snippets(text: str, length: int):
                 stop = np.append(first[1:], len(x) - length + 1)
                 some = np.isin(p, want.values.to_numpy())
                 found.extend((o, d, s, e, k, x[s : e + length - 1]) for s, e, k in zip(first[some].tolist(), stop[some].tolist(), h[some].view(np.int64).tolist()))
-                if len(found) > 200_000:
+                if len(found) > 100_000:
                     yield from flush(found)
                     found = []
         if found:
