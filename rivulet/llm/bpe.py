@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from rivulet.llm.common import give_back
+
 #: Words that a worker remembers; beyond that it starts anew. Bounds memory only, never results.
 CACHE_WORDS = 150_000
 
@@ -283,7 +285,8 @@ def _appended(df: DataFrame, path: str, fields: list[T.StructField], column: str
             columns = [batch.column(f.name) for f in keep]
             made = answer(batch.column(column))
             yield pa.RecordBatch.from_arrays(columns + [pa.array(m, kinds.field(i).type) for i, m in enumerate(made)], names=[f.name for f in keep] + kinds.names)
-        codec(path).forget()  # workers outlive tasks; later ones of other operators need the memory
+        codec.cache_clear()
+        give_back()
 
     return df.mapInArrow(run, T.StructType([*keep, *fields]))
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.session import stored
-from rivulet.llm.common import mix64, utf8, word_hashes
+from rivulet.llm.common import give_back, mix64, utf8, word_hashes
 from rivulet.llm.components import components
 
 #: Documents of one block of a large group.
@@ -193,6 +193,8 @@ def _mapped(key: str, text: str, size: int, percent: int, buckets: int):
             yield pa.RecordBatch.from_pylist(facts, schema=arrow)
         if keys:
             yield flush(keys, nodes, turn)
+        del keys, nodes, seen
+        give_back()
 
     return run
 
