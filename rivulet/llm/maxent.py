@@ -1,8 +1,12 @@
-"""Language-model scoring by a hashed maximum-entropy model.
+"""Language-model scoring by counted word n-grams over a class-factored maximum-entropy model.
 
-The probability of a token is that of its class given the tokens before it, times that of the token within its class. The
-class comes from a softmax over weights of hashed features: the two words before, pairs of classes before and pairs and
-triples that skip places. Within a class, token counts of the whole training corpus are smoothed by one.
+The probability of a token mixes, from the widest context to the narrowest, the counts of word triples, of word pairs and
+of word pairs that skip a place with the probability of the narrower contexts (Dirichlet smoothing, so that the
+probabilities after any context add up). These grams are counted over all training texts by hash, in a space of 2**16
+places per byte of text: none is dropped, and space and counts grow with the corpus. Below them stands the probability of the token's class times that of the token within its class.
+The class comes from a softmax of fixed size over weights of hashed features: the buckets of the two words before, pairs
+of classes before and pairs and triples that skip places. Within a class, token counts of the whole training corpus are
+smoothed by one.
 
 Classes are found from the corpus: words are dealt into buckets by their last four bytes, each bucket's neighbours in
 all training texts are counted, and buckets with like neighbours are put together (k-means over a table of fixed
@@ -10,8 +14,9 @@ size). The end of a text is a class of its own. Training runs in rounds over dis
 together hold them all: every task takes the weights so far, makes its own gradient steps (Adagrad) in batches, and the
 tasks' weights are averaged by tokens.
 
-Token counts are summed by 64-bit hash before and after one shuffle. Counts of the ``HEAD`` most frequent tokens go to all
-tasks; tokens beyond them meet their counts in a join.
+Counts of words (64-bit hash) and grams are shared by chunks of text: a chunk sends each of its keys once with its own
+count, sorted and cut by key range into shards; a shard adds up the counts and sends the sums back in the order of the
+chunk's keys, where they meet the chunk's texts again. No key comes more often than there are chunks, however common it is.
 
 Defined results: null and empty texts are one end token; without training texts every token is unknown and the score is
 the base score; repeated rows get equal results; null ids are kept; an empty table gives an empty one.
@@ -19,17 +24,19 @@ the base score; repeated rows get equal results; null ids are kept; an empty tab
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.session import drop_stored, stored
-from rivulet.llm.common import _LOWER, mix64, prefix_hash, span_hash, utf8, word_spans
+from rivulet.llm.common import _LOWER, give_back, mix64, prefix_hash, span_hash, utf8, word_spans
 
 CLASSES = 24
 BUCKETS = 8192
@@ -40,9 +47,13 @@ ROUNDS = 2
 STEP = 0.25
 #: Tokens of a training batch, and bytes of text that are taken through the arrays at once.
 BATCH, BYTES = 16_384, 1 << 19
-#: Tokens whose counts every task gets; a fixed bound.
-HEAD = 200_000
+#: Bytes of text of a chunk, and of text whose keys a shard holds on average.
+CHUNK = 1 << 21
+#: Weight of the narrower context, in tokens, for pairs and for triples.
+NARROW = (30.0, 8.0)
 END = np.uint64(0xE0E0E0E0E0E0E0E1)
+#: What stands one and two places before a text.
+START, START2 = np.uint64(0xA1A1A1A1A1A1A1A3), np.uint64(0xB2B2B2B2B2B2B2B5)
 _U = np.uint64
 
 
@@ -232,47 +243,233 @@ def _trained(model: Model):
     return run
 
 
-def _scored(key: str, model: Model | None, head: tuple[np.ndarray, np.ndarray], n: int, v: int, gain: np.ndarray):
-    """Task: figures of each text, with the tokens beyond the head as a list."""
-    known_hash, known_n = head
+def grams(t: Tokens, wide: int = 64) -> np.ndarray:
+    """Keys (5 x tokens): the word (64 bits) and, of ``wide`` bits, the context two places before, the pair, the pair over one place, the triple."""
+
+    def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return mix64(x * _U(0x9E3779B97F4A7C15) + y)
+
+    w1, w2 = np.full(len(t.hash), START), np.full(len(t.hash), START2)
+    w1[1:], w2[2:] = t.hash[:-1], t.hash[:-2]
+    w1[t.place < 1], w2[t.place < 2] = START, START
+    w2[t.place < 1] = START2
+    with np.errstate(over="ignore"):
+        pair = joined(w1, t.hash)
+        skip = joined(w2, t.hash ^ _U(0x5851F42D4C957F2D))
+        keys = np.stack([t.hash, mix64(w2 ^ _U(0x14057B7EF767814F)), pair, skip, joined(joined(w2, w1), pair)])
+    keys[1:] >>= _U(64 - wide)
+    return keys
+
+
+def mixed(t: Tokens, n: np.ndarray, texts: float, p: np.ndarray) -> np.ndarray:
+    """Probability of each token from the counts of its :func:`grams`, the number of training texts and the class model's p."""
+    word, far, pair, skip, triple = n
+    near, two = np.full(len(p), texts), np.full(len(p), texts)
+    inner = t.place >= 1
+    near[1:][inner[1:]] = word[:-1][inner[1:]]
+    two[1:][inner[1:]] = pair[:-1][inner[1:]]
+    a, b = NARROW
+    p = ((pair + a * p) / (near + a) + (skip + a * p) / (far + a)) / 2
+    return (triple + b * p) / (two + b)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers byte by byte of equal place, compressed; sorted keys go in as differences."""
+    return pa.compress(np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, n * 8, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: rows with the number of their chunk and their place in it."""
+    chunk, size, row = TaskContext.get().partitionId() << 32, 0, 0
+    for b in batches:
+        numbers, places = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+        for i, t in enumerate(b.column("_text")):
+            n = len(utf8(t.as_py())) + 1
+            if size and size + n > CHUNK:
+                chunk, size, row = chunk + 1, 0, 0
+            size += n
+            numbers[i], places[i] = chunk, row
+            row += 1
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers), pa.array(places)], [*b.schema.names, "chunk", "place"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: str):
+    """(value, batch slices) for each run of rows with equal values in ``column``."""
+    at, held = None, []
+    for b in batches:
+        x = b.column(column).to_numpy(zero_copy_only=False)
+        cut = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+        for s, e in zip(cut, cut[1:]):
+            if e > s:
+                if held and x[s] != at:
+                    yield at, held
+                    held = []
+                at = x[s]
+                held.append(b.slice(s, e - s))
+    if held:
+        yield at, held
+
+
+def _own(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of some texts and their counts among the tokens that train."""
+    all_keys = np.sort(keys, axis=None)
+    cut = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]]))
+    u, n = all_keys[cut], np.diff(cut, append=len(all_keys))
+    if not trains.all():
+        held, m = np.unique(keys[:, ~trains], return_counts=True)
+        n[np.searchsorted(u, held)] -= m
+    return u, n
+
+
+def _texts(parts: list[pa.RecordBatch]) -> tuple[list[bytes], np.ndarray]:
+    texts = [utf8(t.as_py()) for b in parts for t in b.column("_text")]
+    return texts, np.array([h is False for b in parts for h in b.column("_held").to_pylist()], bool)
+
+
+def _cut(u: np.ndarray, bits: int, wide: int) -> list[slice]:
+    """Distinct sorted keys of ``wide`` bits by their first ``bits`` bits."""
+    edge = [*np.searchsorted(u, np.arange(1 << bits, dtype=_U) << _U(wide - bits)).tolist(), len(u)]
+    return [slice(a, b) for a, b in zip(edge, edge[1:])]
+
+
+def _pieces(parts: list[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Rows of a chunk as they were read together: runs of places that follow one another."""
+    held, at = [], None
+    for b in parts:
+        x = b.column("place").to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(x) != 1) + 1).tolist(), len(x)]
+        for s, e in zip(cut, cut[1:]):
+            if held and x[s] != at + 1:
+                yield held
+                held = []
+            held.append(b.slice(s, e - s))
+            at = x[e - 1]
+    yield held
+
+
+def _sent(bits: int, wide: int):
+    """Task: the keys of each chunk with its own counts; words in shards 0 to 2**bits - 1, grams in those after them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, held in _runs(batches, "chunk"):
+            for parts in _pieces(held):
+                texts, trains = _texts(parts)
+                t = tokens(texts)
+                keys = grams(t, wide)
+                rows = []
+                for kind, k in enumerate((keys[:1], keys[1:])):
+                    u, n = _own(k, trains[t.doc])
+                    for i, c in enumerate(_cut(u, bits, (64, wide)[kind])):
+                        if c.stop > c.start:
+                            rows.append((i + (kind << bits), c.stop - c.start, _packed(np.diff(u[c], prepend=_U(0))), _packed(n[c])))
+                shard, size, ks, ns = zip(*rows)
+                k, first = len(rows), parts[0].column("place")[0].as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard, pa.int32()), pa.array([int(chunk)] * k, pa.int64()), pa.array([first] * k, pa.int64()), pa.array(size, pa.int32()), pa.array(ks, pa.binary()), pa.array(ns, pa.binary())],
+                    ["shard", "chunk", "place", "size", "keys", "n"],
+                )
+                del texts, t, keys, k, u, n, rows, ks, ns
+        give_back()
+
+    return run
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: the counts over all chunks of the keys of each shard and chunk, in the order of its keys."""
+    for shard, parts in _runs(batches, "shard"):
+        rows = [r for b in parts for r in zip(*(b.column(c).to_pylist() for c in ("chunk", "place", "size", "keys", "n")))]
+        at = np.concatenate([np.cumsum(_numbers(r[3], r[2]), dtype=np.uint64) for r in rows])
+        n = np.concatenate([_numbers(r[4], r[2]) for r in rows])
+        order = np.argsort(at)
+        at = at[order]
+        cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        total = np.empty_like(n)
+        total[order] = np.repeat(np.add.reduceat(n[order], cut), np.diff(cut, append=len(at)))
+        s = 0
+        for chunk, place, size, _, _ in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard)], pa.int32()), pa.array([chunk], pa.int64()), pa.array([place], pa.int64()), pa.array([size], pa.int32()), pa.array([_packed(total[s : s + size])], pa.binary())], ["shard", "chunk", "place", "size", "n"])
+            s += size
+        del parts, rows, at, n, order, cut, total
+    give_back()
+
+
+def _found(keys: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The counts of all keys from those of the distinct ones."""
+    order = np.argsort(keys, axis=None)
+    x = keys.ravel()[order]
+    cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    if len(cut) != len(sums):
+        raise RuntimeError("the keys of a chunk have changed since they were counted")
+    out = np.empty(keys.size, np.int64)
+    out[order] = np.repeat(sums, np.diff(cut, append=len(x)))
+    return out.reshape(keys.shape)
+
+
+def _scored(key: str, model: Model | None, n: int, v: int, ends: int, gain: np.ndarray, bits: int, wide: int):
+    """Task: figures of each text of a chunk, whose rows stand with the counts sent back to it."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]):
+        for _, parts in _runs(batches, "chunk"):
+            sums: dict[int, list] = {}
+            for b in parts:
+                for r in zip(*(b.filter(pa.compute.is_valid(b.column("shard"))).column(c).to_pylist() for c in ("place", "shard", "size", "n"))):
+                    sums.setdefault(r[0], []).append(r[1:])
+            docs = pa.Table.from_batches(parts).filter(pa.compute.field("shard").is_null()).sort_by("place").combine_chunks()
+            firsts = sorted(sums)
+            edge = [*np.searchsorted(docs["place"].to_numpy(), firsts).tolist(), docs.num_rows]
+            for f, s, e in zip(firsts, edge, edge[1:]):
+                yield docs.slice(s, e - s).to_batches(), sorted(sums[f], key=lambda r: r[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
         floor = np.log10(n + v + 1)
-        for b, first, texts in _chunks(batches, "_text"):
+        for parts, sums in pieces(batches):
+            texts, trains = _texts(parts)
             t = tokens(texts)
-            at = np.minimum(np.searchsorted(known_hash, t.hash), max(len(known_hash) - 1, 0))
-            hit = known_hash[at] == t.hash if len(known_hash) else np.zeros(len(t.hash), bool)
-            count = np.where(hit, known_n[at] if len(known_n) else 0, 0)
-            base = np.where(hit, np.log10(count + 1.0) - floor, 0.0)
-            extra = np.zeros(len(t.hash))
+            keys = grams(t, wide)
+            none = np.zeros(0, np.uint64)
+            found = np.concatenate([_found(k, np.concatenate([none, *(_numbers(x, m) for shard, m, x in sums if shard >> bits == kind)])) for kind, k in enumerate((keys[:1], keys[1:]))])
+            del keys, sums
+            base = np.log10(found[0] + 1.0) - floor
+            score = base
             if model is not None:
                 classes = model.class_of[t.bucket]
+                extra = np.zeros(len(classes))
                 ids = features(t, classes)
                 for s in range(0, len(classes), BATCH):
                     y = classes[s : s + BATCH]
                     extra[s : s + BATCH] = log_softmax(model.weights, model.bias, ids[s : s + BATCH])[np.arange(len(y)), y]
-                extra = extra / np.log(10) + gain[classes]
+                p = 10 ** (base + extra / np.log(10) + gain[classes])
+                score = np.minimum(np.log10(mixed(t, found, ends, p)), 0)
             k = len(texts)
-            size = np.bincount(t.doc, minlength=k)
-            rest = ~hit
-            left = np.bincount(t.doc[rest], minlength=k)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32()), pa.array(t.hash[rest].view(np.int64)))
+            size, known = np.bincount(t.doc, minlength=k), np.bincount(t.doc, found[0] > 0, k).astype(np.int64)
+            columns = [pa.concat_arrays([b.column(c) for b in parts]) for c in (key, "_held")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(k) + row), b.column(key).slice(first, k), b.column("_held").slice(first, k), pa.array(size), pa.array(size - left), pa.array(np.bincount(t.doc, base, k)), pa.array(np.bincount(t.doc, extra, k)), lists],
-                ["row", key, "_held", "n_tokens", "n_known", "base", "extra", "rest"],
+                [*columns, pa.array(size), pa.array(known), pa.array(np.full(k, n)), pa.array(np.bincount(t.doc, base, k)), pa.array(np.bincount(t.doc, score, k))],
+                [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
-            row += k
+            del parts, texts, t, found
+        give_back()
 
     return run
 
 
+def _forget(df: DataFrame) -> None:
+    """Lets Spark remove the shuffle files of tables that nothing refers to any more."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Learns from the rows that are not held out and scores all: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = df.select(F.col(key), F.col(text).alias("_text"), held_out.alias("_held"))
     train = docs.where(~F.col("_held")).select("_text", F.pmod(F.xxhash64(key, F.length("_text")), F.lit(ROUNDS)).alias("_round"))
     gathered = stored(train.select("_text").mapInArrow(_gathered, "hash long, n long, bucket int, block int, table binary"), "tokens")
-    counts = stored(gathered.where("block IS NULL").groupBy("hash").agg(F.sum("n").alias("n"), F.min("bucket").alias("bucket")), "counts")
+    counts = gathered.where("block IS NULL").groupBy("hash").agg(F.sum("n").alias("n"), F.min("bucket").alias("bucket"))
     by_bucket = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # BUCKETS + 1 rows at most
     total, types = sum(r["n"] for r in by_bucket), sum(r["v"] for r in by_bucket)
     model, gain = None, np.zeros(CLASSES)
@@ -293,27 +490,18 @@ def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "tex
             if rows:
                 model = Model(class_of, np.concatenate([rows[j][:-1] / rows[j][-1] for j in range(16)]).reshape(FEATURES, CLASSES).astype(np.float32), model.bias)
     drop_stored(gathered)
-    # The lowest count at which at most HEAD tokens are left, from a histogram of a few hundred steps.
-    steps = counts.groupBy(F.floor(F.log("n") * 20).cast("int").alias("step")).agg(F.count("*").alias("v"), F.min("n").alias("least")).collect()
-    least, room = None, HEAD
-    for r in sorted(steps, key=lambda r: -r["step"]):
-        room -= r["v"]
-        if room < 0:
-            break
-        least = r["least"]
-    top = counts.where(F.col("n") >= least).select("hash", "n").toPandas() if least is not None else None
-    if top is not None and len(top):
-        h, c = top["hash"].to_numpy(np.int64).view(_U), top["n"].to_numpy(np.int64)
-        order = np.argsort(h)
-        head = (h[order], c[order])
-    else:
-        head = (np.zeros(0, _U), np.zeros(0, np.int64))
-    schema = f"row long, {key} {dict(docs.dtypes)[key]}, _held boolean, n_tokens long, n_known long, base double, extra double, rest array<long>"
-    scored = stored(docs.mapInArrow(_scored(key, model, head, total, types, gain), schema), "scored")
-    rest = scored.select("row", F.explode("rest").alias("hash")).join(counts.select("hash", "n"), "hash", "left")
-    sums = rest.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0) - F.log10(F.lit(float(total + types + 1)))).alias("more"), F.count("n").alias("found"))
-    out = scored.drop("rest").join(sums, "row", "left")
-    base = F.col("base") + F.coalesce("more", F.lit(0.0))
-    return out.select(
-        key, F.col("_held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("extra")).alias("score")
-    )
+    ends = sum(r["n"] for r in by_bucket if r["bucket"] == BUCKETS)
+    kind = dict(docs.dtypes)[key]
+    docs = stored(docs.mapInArrow(_numbered, f"{key} {kind}, _text string, _held boolean, chunk long, place long"), "chunks")
+    size = docs.agg(F.sum(F.octet_length("_text") + 1)).first()[0] or 0
+    bits = max(4, (size // CHUNK).bit_length() - 1)
+    wide = min(64, size.bit_length() + 16)
+    del gathered, counts, train
+    _forget(df)
+    shards = docs.mapInArrow(_sent(bits, wide), "shard int, chunk long, place long, size int, keys binary, n binary").repartition(2 << bits, "shard").sortWithinPartitions("shard")
+    answers = stored(shards.mapInArrow(_answered, "shard int, chunk long, place long, size int, n binary"), "answers")
+    del shards
+    _forget(df)
+    rows = docs.unionByName(answers, allowMissingColumns=True)
+    schema = f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return rows.repartition(1 << bits, "chunk").sortWithinPartitions("chunk").mapInArrow(_scored(key, model, total, types, ends, gain, bits, wide), schema)

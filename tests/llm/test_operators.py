@@ -355,6 +355,30 @@ def test_class_probabilities_add_up():
     assert np.exp(p).sum(1) == pytest.approx(np.ones(len(classes)))
 
 
+def test_language_model_knows_word_pairs(spark):
+    """Words of one bucket, so that only which word follows which tells the two held-out texts apart."""
+    a, b, c, d = (f"{x * 3}word" for x in "abcd")
+    rows = [(i, " ".join([a, b, c, d] if i % 2 else [c, d, a, b]), None, None, None) for i in range(40)] + [(100, f"{a} {b} {c} {d}", None, None, None), (101, f"{a} {c} {b} {d}", None, None, None)]
+    got = {r["doc_id"]: r for r in maxent.score(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("doc_id") >= 100).collect()}
+    assert got[100]["base_score"] == pytest.approx(got[101]["base_score"]) and got[100]["score"] > got[101]["score"] + 1
+
+
+def test_counted_grams_add_up(rows):
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    t = maxent.tokens(texts)
+    keys = maxent.grams(t)
+    u, n = np.unique(keys, return_counts=True)
+    found = np.stack([n[np.searchsorted(u, x)] for x in keys])
+    p = np.full(len(t.hash), 1 / len(np.unique(t.hash)))
+    want = np.bincount(t.doc, np.log10(maxent.mixed(t, found, len(texts), p)))
+    words = np.unique(t.hash)
+    for w1, w2 in ((t.hash[7], t.hash[6]), (t.hash[1], t.hash[0])):
+        one = [maxent.Tokens(np.array([w2, w1, w], np.uint64), np.zeros(3, np.int32), np.arange(3), np.zeros(3, int)) for w in words]
+        q = sum(maxent.mixed(x, np.stack([np.where(u[np.minimum(np.searchsorted(u, k), len(u) - 1)] == k, n[np.minimum(np.searchsorted(u, k), len(u) - 1)], 0) for k in maxent.grams(x)]), len(texts), p[:3])[2] for x in one)
+        assert q == pytest.approx(1)
+    assert np.isfinite(want).all()
+
+
 # --- Quality -------------------------------------------------------------------------------------
 
 
