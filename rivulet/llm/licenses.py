@@ -17,6 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.llm.license_digests import DIGESTS
+
 # Patterns in the order in which they apply, in a syntax that Java, Python and RE2 share.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(portions )?(copyright|\(c\)|©)[^\n]*"
 SPELLINGS = [
@@ -72,7 +74,7 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution."""
-KNOWN = {"0BSD": [ZERO_BSD], "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", APACHE_NOTICE], "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."], "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."], "ISC": [ISC], "MIT": [MIT, MIT.split("\n\n", 1)[1]], "Zlib": [ZLIB]}
+KNOWN = {"0BSD": [ZERO_BSD], "Apache-2.0": [APACHE_NOTICE], "ISC": [ISC], "MIT": [MIT, MIT.split("\n\n", 1)[1]], "Zlib": [ZLIB]}
 
 
 def canonical(text: Column) -> Column:
@@ -95,12 +97,14 @@ def canonical_text(text: str) -> str:
 
 
 def digests(known: dict[str, list[str]] = KNOWN) -> dict[str, str]:
-    """Digest to licence."""
+    """Digest to licence; with the texts of KNOWN also those longer ones of which only digests are held."""
     out: dict[str, str] = {}
-    for name in sorted(known):
-        for text in known[name]:
+    for name in sorted({*known, *DIGESTS} if known is KNOWN else known):
+        for text in known.get(name, []):
             if canonical_text(text):
                 out.setdefault(hashlib.sha256(canonical_text(text).encode()).hexdigest(), name)
+        for digest in DIGESTS.get(name, []) if known is KNOWN else []:
+            out.setdefault(digest, name)
     return out
 
 

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and very long texts, ties, repeats and clashing names."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -249,6 +250,29 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+BSD_2 = """Copyright (c) 2020, Jo
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+COMMON = "/usr/share/common-licenses"
+
+
+def test_whole_texts_of_common_licenses(spark):
+    whole = [(BSD_2, "BSD-2-Clause"), ("This work is licensed under the GNU General Public License, version 3.", None)]
+    for name, license in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(f"{COMMON}/{name}"):
+            whole.append((open(f"{COMMON}/{name}", encoding="utf-8").read(), license))
+    got = licenses.scan(spark.createDataFrame([(i, t, None, None, None) for i, (t, _) in enumerate(whole)], SCHEMA)).collect()
+    assert {r["doc_id"]: r["license"] for r in got} == {i: n for i, (_, n) in enumerate(whole)}
+    assert {"BSD-3-Clause", "Unlicense", "GPL-1.0", "LGPL-2.0", "MPL-1.1"} <= set(licenses.digests().values())
+
+
 # --- Mixing --------------------------------------------------------------------------------------
 
 
