@@ -31,11 +31,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word shingles, similarity 0.8); of equal rows one."""
-    docs = _documents(docs)
-    groups = jaccard.join(docs, size=5, percent=80)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each group of near copies (five-word shingles, similarity 0.8): that with the smallest id, null ids last; of equal rows one.
+
+    Rows are told apart by a number of their own, so null and repeated ids keep no row but the group's first. Texts
+    without shingles are near copies of nothing.
+    """
+    docs = stored(_documents(docs).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = jaccard.join(docs, size=5, percent=80, key="_row").select("_row", "component_id")
+    ids = docs.select("_row", F.col("doc_id").isNull().alias("_none"), "doc_id")
+    kept = groups.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct("_none", "doc_id", "_row")).alias("_first"))
+    out = docs.join(kept.select(F.col("_first._row").alias("_row")), "_row", "left_semi")
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("n_chars")
     return out.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*COLUMNS)
 

@@ -52,3 +52,14 @@ def test_stages_take_empty_tables_and_odd_rows(spark, small):
         for name, stage in cp.STAGES:
             docs = stored(stage(spark, docs, small), f"odd-{name}")
         assert docs.count() == 0 if not rows else docs.count() >= 1
+
+
+def test_near_copies_with_null_and_repeated_ids(spark, small):
+    """Rows whose id is null or stands elsewhere too, near copies of a row that stays, go."""
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*words[:-1], "z"]), " ".join(f"v{i}" for i in range(60))
+    schema = spark.read.parquet(f"{small}/documents.parquet").schema
+    texts = [(1, " ".join(words)), (None, near), (None, other), (5, near + " y"), (5, "a text that stands alone here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], schema)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in cp.drop_near_copies(spark, docs, small).collect())
+    assert got == [(0, other), (1, texts[0][1]), (5, texts[4][1])]
