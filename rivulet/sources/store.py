@@ -18,6 +18,12 @@ def _now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
+def _source(epoch: str) -> tuple[str, int]:
+    """Checkpoint and number of an epoch ``checkpoint#number``; any other name stands for itself."""
+    name, _, number = epoch.rpartition("#")
+    return (name, int(number)) if name and number.isascii() and number.isdigit() else (epoch, 0)
+
+
 class Store:
     """One keyspace under a root folder. One writer at a time; readers keep the version they opened.
 
@@ -45,7 +51,7 @@ class Store:
 
     @staticmethod
     def _fresh() -> dict:
-        return {"version": 0, "next_seq": 0, "log_bytes": 0, "head": -1, "tail": 0, "batches": [], "runs": [], "epochs": []}
+        return {"version": 0, "next_seq": 0, "log_bytes": 0, "head": -1, "tail": 0, "batches": [], "runs": [], "epochs": {}}
 
     def _commit(self, **changes) -> None:
         body = self.state | changes | {"last_modified": _now().isoformat()}
@@ -53,6 +59,16 @@ class Store:
         self._manifests.commit(body, version)
         self.state = body | {"version": version}
 
+    def _epochs(self) -> dict[str, int]:
+        """The highest committed epoch by checkpoint; older manifests hold a list of epochs."""
+        held = self.state["epochs"]
+        if isinstance(held, dict):
+            return dict(held)
+        out: dict[str, int] = {}
+        for source, number in map(_source, held):
+            out[source] = max(number, out.get(source, -1))
+        return out
+
     def refresh(self) -> Store:
         self.state = self._manifests.read() or self._fresh()
         return self
@@ -63,10 +79,15 @@ class Store:
         """Appends records (k, v, is_tombstone and, if known, seq and created_at) as one batch; returns how many.
 
         Null times become the time of the commit. Without seq, records get rising numbers after all earlier ones.
-        A batch with any bad size is refused whole. An ``epoch`` already committed is not appended again.
+        A batch with any bad size is refused whole. An ``epoch`` already committed is not appended again: of each
+        checkpoint the highest number is kept, as a stream commits its epochs in rising order.
         """
-        if epoch is not None and epoch in self.state["epochs"]:
-            return 0
+        epochs = self._epochs()
+        if epoch is not None:
+            source, number = _source(epoch)
+            if epochs.get(source, -1) >= number:
+                return 0
+            epochs[source] = number
         if "is_tombstone" not in log.columns:
             log = log.withColumn("is_tombstone", F.lit(False))
         if "seq" not in log.columns:
@@ -88,7 +109,7 @@ class Store:
         batch = {"path": path, "n": r["n"], "min_seq": r["lo"], "max_seq": r["hi"], "bytes": r["b"], "offset": self.state["log_bytes"]}
         self._commit(
             batches=[*self.state["batches"], batch], next_seq=max(self.state["next_seq"], r["hi"] + 1), log_bytes=self.state["log_bytes"] + r["b"],
-            epochs=[*self.state["epochs"], epoch][-100:] if epoch is not None else self.state["epochs"],
+            epochs=epochs,
         )
         return r["n"]
 

@@ -26,6 +26,16 @@ def test_ingest_counts_a_delivery_once(spark, tmp_path):
     assert store.append(spark.read.parquet(folder), f"{tmp_path / 'cp'}#1") == 0 and store.records().count() == n
 
 
+def test_a_late_redelivery_after_many_epochs_of_other_streams(spark, tmp_path):
+    store = Store.open(spark, "s", str(tmp_path))
+    one = spark.createDataFrame([("a", "1")], "k string, v string").coalesce(1)
+    store.state["epochs"] = ["slow#7", *(f"fast#{i}" for i in range(99))]  # as older manifests hold them
+    assert store.append(one, "fast#99") == 1
+    store = Store.open(spark, "s", str(tmp_path))
+    assert store.append(one, "slow#7") == 0 and store.append(one, "fast#99") == 0
+    assert store.append(one, "slow#8") == 1 and store.records().count() == 2
+
+
 def test_latest_view_with_state(spark, tmp_path):
     folder = str(tmp_path / "in")
     write(spark, folder, [(1, "a", "1", 0, False), (2, "a", "2", 1, False), (3, "b", "1", 0, False)])
