@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch where the session leaves Spark's own 10,000: a batch of long texts stays small.
+ARROW_ROWS = 2_000
 _SHIPPED: set[str] = set()
 _OWN_DIR: dict[str, str] = {}
 
@@ -29,10 +31,16 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/rivulet-{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns it as read back: a cut of lineage that survives lost executors."""
+def stored(df: DataFrame, tag: str, rows: int | None = None, each: int = 100_000) -> DataFrame:
+    """Writes ``df`` to the shared folder and returns it as read back: a cut of lineage that survives lost executors.
+
+    Where a bound of its rows is known, a small table goes into few files: one for every ``each`` rows.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
+    files = None if rows is None else rows // each + 1
+    if files is not None and files < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(files)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,8 +56,11 @@ def drop_stored(df: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes the package importable in every Python worker, once per application."""
+    """Makes the package importable in every Python worker, once per application, and Arrow batches small in the session."""
     sc = spark.sparkContext
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, str(ARROW_ROWS))
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
