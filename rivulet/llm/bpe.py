@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rivulet.llm.common import give_back
+from rivulet.llm.common import task
 
 #: Words that a worker remembers; beyond that it starts anew. Bounds memory only, never results.
 CACHE_WORDS = 150_000
@@ -285,10 +285,9 @@ def _appended(df: DataFrame, path: str, fields: list[T.StructField], column: str
             columns = [batch.column(f.name) for f in keep]
             made = answer(batch.column(column))
             yield pa.RecordBatch.from_arrays(columns + [pa.array(m, kinds.field(i).type) for i, m in enumerate(made)], names=[f.name for f in keep] + kinds.names)
-        codec.cache_clear()
-        give_back()
+        codec(path).forget()
 
-    return df.mapInArrow(run, T.StructType([*keep, *fields]))
+    return df.mapInArrow(task(run), T.StructType([*keep, *fields]))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +28,32 @@ def remainder(column: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("null"))) % mod
 
 
+def set_apart(df: DataFrame, *replaced: str) -> tuple[DataFrame, dict[str, str], list[tuple[str, str]]]:
+    """``df`` under plain names (c0, c1, ...) that no name of an operator's own meets.
+
+    With it, the plain name of each column and those to give back at the end, without the ones that are replaced.
+    """
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    back = [(c, name) for c, name in zip(plain, df.columns) if name not in replaced]
+    return df.toDF(*plain), dict(zip(df.columns, plain)), back
+
+
+#: Rows of one key that a join leaves to one task: this many, or this share of all rows where that is more.
+FEW, SHARE = 1_000, 50_000
+
+
+def join_spread(df: DataFrame, other: DataFrame, on: str | list[str], n: int) -> DataFrame:
+    """Joins to ``other``, which has one row per key and in ``_rows`` the number of rows of ``df`` with it.
+
+    Rows of hot keys stay where they are and meet a broadcast table: of ``n`` rows in all, that holds at most
+    ``SHARE`` keys. All other keys are joined by a shuffle.
+    """
+    often = F.broadcast(other.where(F.col("_rows") > max(FEW, n // SHARE)))
+    keys = [on] if isinstance(on, str) else on
+    rare = df.join(often.select(*keys), keys, "left_anti").join(other.where(F.col("_rows") <= max(FEW, n // SHARE)), keys)
+    return rare.unionByName(df.join(often, keys)).drop("_rows")
+
+
 # --- vectorised word hashing over UTF-8 bytes -------------------------------------------------
 
 _IS_SPACE = np.zeros(256, bool)
@@ -77,28 +108,85 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+#: Bytes of text that are hashed at once: bounds the arrays beside a very long text, never results.
+PIECE = 1 << 20
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def pieces(text: bytes, size: int = PIECE) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes that end at white space, so that no word is cut."""
+    at = 0
+    while len(text) - at > size:
+        gap = _SPACE.search(text, at + size)
+        if gap is None:
+            break
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:] if at else text
+
+
 def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
     """One 64-bit hash per word, A-Z lower-cased first if asked."""
-    data = np.frombuffer(text, np.uint8)
-    if lower:
-        data = _LOWER[data]
-    start, end = word_spans(data)
-    return span_hash(prefix_hash(data), start, end) if len(start) else np.zeros(0, np.uint64)
+    out = []
+    for part in pieces(text):
+        data = np.frombuffer(part, np.uint8)
+        if lower:
+            data = _LOWER[data]
+        start, end = word_spans(data)
+        if len(start):
+            out.append(span_hash(prefix_hash(data), start, end))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def ranges(blobs: list[tuple[np.ndarray, ...]], n: int) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """Blobs that begin with a sorted array of 64-bit keys, cut into ``n`` ranges of keys; ranges without a key are left out."""
+    borders = np.arange(1, n).astype(np.uint64) * np.uint64((1 << 64) // n)
+    cuts = [[0, *np.searchsorted(b[0], borders).tolist(), len(b[0])] for b in blobs]
+    for i in range(n):
+        part = [tuple(x[c[i] : c[i + 1]] for x in b) for b, c in zip(blobs, cuts) if c[i + 1] > c[i]]
+        if part:
+            yield part
 
 
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+_LIBC = ctypes.CDLL(None)
+#: Allocations from this size on go back to the system as soon as they are freed.
+_APART = 4 << 20
+
+
 def give_back() -> None:
     """Returns freed memory to the system at a task's end: Python workers outlive tasks and stand beside others."""
-    import ctypes
-    import gc
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc only
+        _LIBC.malloc_trim(0)
 
-    import pyarrow as pa
 
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim is not None:
-        trim(0)
+def lean() -> None:
+    """From now on Arrow's buffers come from malloc, and large allocations go back to the system when freed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if hasattr(_LIBC, "mallopt"):  # glibc only
+        _LIBC.mallopt(-3, _APART)  # M_MMAP_THRESHOLD
+        _LIBC.mallopt(-1, _APART)  # M_TRIM_THRESHOLD
+
+
+def task(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that holds no freed memory while it runs and gives all back at its end."""
+
+    def kept_lean(batches: Iterator) -> Iterator:
+        lean()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return kept_lean
+
+
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    """Arrays of numbers as one column of lists."""
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.session import stored
+from rivulet.llm.common import task
 from rivulet.llm.components import components
 
 SAMPLE = 20_000
@@ -240,7 +241,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     for i, v in enumerate(sample):
         x[i, : len(v)] = v
     grid = fit(_unit(x), facts["n"], least)
-    placed = stored(reps.select("rep", "copies", "vector").mapInArrow(_placed(grid), "rep long, copies long, vector array<float>, home int, visits array<int>"), "placed")
+    placed = stored(reps.select("rep", "copies", "vector").mapInArrow(task(_placed(grid)), "rep long, copies long, vector array<float>, home int, visits array<int>"), "placed")
     calls = placed.select("rep", "copies", "vector", "home", F.explode("visits").alias("cell"))
     # Two small tables, a row per cell at most: how many members and visitors it has.
     load = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
@@ -251,7 +252,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     visitors = calls.join(load, "cell").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("nc")).cast("int")).withColumn("block", spread("nb"))
     both = members.withColumn("visitor", F.lit(False)).select(columns).unionByName(visitors.withColumn("visitor", F.lit(True)).withColumn("visits", F.lit(None).cast("array<int>")).select(columns))
     dealt = both.repartition(parts, "cell", "block", "chunk").sortWithinPartitions("cell", "block", "chunk")
-    found = stored(dealt.mapInArrow(_met(grid.size, least), "rep long, n long, other long"), "met")
+    found = stored(dealt.mapInArrow(task(_met(grid.size, least)), "rep long, n long, other long"), "met")
     counts = found.groupBy("rep").agg(F.sum("n").alias("links"))
     joined = components(found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     named = reps.select("mark", "rep", "copies", "first").join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))

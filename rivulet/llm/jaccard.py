@@ -6,7 +6,7 @@ b differ in at most (a+b)(1-s)/(1+s) shingles, so with more non-empty parts than
 Documents meet on equal parts, per band of sizes; survivors of a size test and of a parity sketch (XOR of one
 bit per shingle, in 1024 bits or more; Hamming distance against the same bound) are verified on their whole sets.
 
-How it stays bounded. Equal sets count as one. Python tasks pack (part key, document) entries into blobs by bucket; a key
+How it stays bounded. Equal sets count as one. Python tasks pack (part key, document) entries into blobs by bucket, which are worked off by ranges of keys; a key
 that several documents of one batch share goes there once, and these documents' rows travel apart, dealt at random. Only keys
 that occur again become rows. Each key's group is first linked through its best connected member; groups which then
 still hold several components are compared in blocks of at most ``BLOCK`` documents. No group is ever collected
@@ -27,15 +27,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.functions.session import stored
-from rivulet.llm.common import give_back, mix64, utf8, word_hashes
+from rivulet.functions.session import drop_stored, stored
+from rivulet.llm.common import join_spread, lists, mix64, ranges, task, utf8, word_hashes
 from rivulet.llm.components import components
 
 #: Documents of one block of a large group.
 BLOCK = 512
 #: Entries that a task gathers before it writes them out.
 BATCH_KEYS, BATCH_DOCS = 400_000, 60_000
-BUCKETS_EACH = 16
+#: Key ranges in which a task compares what it was dealt, one after the other.
+RANGES = 16
+#: Hashes of whole sets that a task gathers before it sends them.
+SET_VALUES = 200_000
 #: Bits of the filter that keeps sets without candidates out of the shuffle: a fixed size, at worst it keeps none out.
 FILTER_BITS, FILTER_HASHES = 1 << 23, 3
 _U = np.uint64
@@ -119,17 +122,6 @@ def identity(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def pack(s: np.ndarray) -> bytes:
-    """Six bytes of each hash, in order."""
-    return np.unique(s >> _U(16)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-
-
-def unpack(b: bytes) -> np.ndarray:
-    x = np.zeros((len(b) // 6, 8), np.uint8)
-    x[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return x.view(">u8").ravel().astype(_U)
-
-
 _META = "node long, id long, n long, h1 long, h2 long, sketch array<long>"
 _ROW = f"bucket int, keys binary, nodes binary, {_META}"
 
@@ -137,10 +129,18 @@ _ROW = f"bucket int, keys binary, nodes binary, {_META}"
 def _mapped(key: str, text: str, size: int, percent: int, buckets: int):
     """Task: documents to blobs of keys, rows of keys shared in a batch, and one row of facts per document."""
     bands = Bands(percent)
-    arrow = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("node", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    long = pa.int64()
+    arrow = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), *((c, long) for c in ("node", "id", "n", "h1", "h2")), ("sketch", pa.list_(long))])
 
     def blobs(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"bucket": b, "keys": k.tobytes(), "nodes": n.tobytes()} for b, k, n in rows], schema=arrow)
+        own = [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in (1, 2))]
+        return pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(rows), long) for _ in range(5)), pa.nulls(len(rows), pa.list_(long))], schema=arrow)
+
+    def known(first: int, ids: pa.Array, sizes: list, signs: list, sketches: list) -> pa.RecordBatch:
+        node = np.arange(first, first + len(ids))
+        h = np.array(signs, np.int64).reshape(-1, 2)
+        none = pa.nulls(len(ids), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array((-1 - node % buckets).astype(np.int32)), none, none, pa.array(node), ids, pa.array(sizes, long), pa.array(h[:, 0]), pa.array(h[:, 1]), lists(sketches)], schema=arrow)
 
     def flush(keys: list, nodes: list, turn: int) -> pa.RecordBatch:
         k = np.concatenate(keys)
@@ -157,7 +157,7 @@ def _mapped(key: str, text: str, size: int, percent: int, buckets: int):
                 rows.append((-1 - int(mix64(np.array([turn * 7919 + int(nd[at[0]])], _U))[0] % _U(buckets)), k[at], nd[at]))
         # One entry for each key; a shared key's stands for a document that has its row already (node -1).
         gk, gn = k[head], np.where(single, nd, -1)[head]
-        bucket = (gk >> _U(40)) % _U(buckets)
+        bucket = (gk >> _U(20)) % _U(buckets)
         order = np.argsort(bucket, kind="stable")
         gk, gn, bucket = gk[order], gn[order], bucket[order]
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -170,66 +170,65 @@ def _mapped(key: str, text: str, size: int, percent: int, buckets: int):
         node = TaskContext.get().partitionId() << 40
         keys, nodes, total, turn, seen = [], [], 0, 0, set()
         for batch in batches:
-            facts = []
-            for i, t in zip(batch.column(key).to_pylist(), batch.column(text)):
-                s = shingles(t.as_py(), size)
-                h = identity(s)
-                facts.append({"bucket": -1 - node % buckets, "node": node, "id": i, "n": len(s), "h1": h[0], "h2": h[1], "sketch": parity(s).tolist() if len(s) else []})
-                if h not in seen:
-                    k = part_keys(s, bands)
-                    if len(k):
-                        seen.add(h)
-                        keys.append(k)
-                        nodes.append(node)
-                        total += len(k)
-                node += 1
-                if len(facts) >= 500:
-                    yield pa.RecordBatch.from_pylist(facts, schema=arrow)
-                    facts = []
-                if total >= BATCH_KEYS or len(nodes) >= BATCH_DOCS:
-                    yield flush(keys, nodes, turn)
-                    turn += total
-                    keys, nodes, total, seen = [], [], 0, set()
-            yield pa.RecordBatch.from_pylist(facts, schema=arrow)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                first, sizes, signs, sketches = node, [], [], []
+                for t in part.column(text):
+                    s = shingles(t.as_py(), size)
+                    h = identity(s)
+                    sizes.append(len(s))
+                    signs.append(h)
+                    sketches.append(parity(s) if len(s) else np.zeros(0, np.int64))
+                    if h not in seen:
+                        k = part_keys(s, bands)
+                        if len(k):
+                            seen.add(h)
+                            keys.append(k)
+                            nodes.append(node)
+                            total += len(k)
+                    node += 1
+                    if total >= BATCH_KEYS or len(nodes) >= BATCH_DOCS:
+                        yield flush(keys, nodes, turn)
+                        turn += total
+                        keys, nodes, total, seen = [], [], 0, set()
+                yield known(first, part.column(key), sizes, signs, sketches)
         if keys:
             yield flush(keys, nodes, turn)
-        del keys, nodes, seen
-        give_back()
 
-    return run
+    return task(run)
 
 
+@task
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: the blobs of some buckets to rows of keys that occur again; all else passes."""
+    """Task: blobs of sorted keys to rows of keys that occur again, one range of keys after the other; all else passes."""
     schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def rows(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(k), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n), none, none, none, none, pa.nulls(len(k), pa.list_(pa.int64()))], schema=schema)
 
-    keys, nodes = [], []
+    held = []
     for b in batches:
         facts = b.filter(b.column("keys").is_null())
         if facts.num_rows:
             yield pa.RecordBatch.from_arrays([pa.nulls(facts.num_rows, pa.int64()), *(facts.column(c) for c in ("node", "id", "n", "h1", "h2", "sketch"))], schema=schema)
-        for bucket, k, n in zip(b.column("bucket").to_pylist(), b.column("keys").to_pylist(), b.column("nodes").to_pylist()):
-            if k is None:
+        for bucket, k, n in zip(*(b.column(c) for c in ("bucket", "keys", "nodes"))):
+            if not k.is_valid:
                 continue
-            k, n = np.frombuffer(k, _U), np.frombuffer(n, np.int64)
-            if bucket < 0:
+            k, n = np.frombuffer(k.as_py(), _U), np.frombuffer(n.as_py(), np.int64)
+            if bucket.as_py() < 0:
                 yield rows(k, n)
             else:
-                keys.append(k)
-                nodes.append(n)
-    if keys:
-        k, n = np.concatenate(keys), np.concatenate(nodes)
+                held.append((k, n))
+    for part in ranges(held, RANGES):
+        k, n = (np.concatenate(x) for x in zip(*part))
         order = np.argsort(k, kind="stable")
         k, n = k[order], n[order]
         head = np.concatenate([[True], k[1:] != k[:-1]])
-        again = ~(head & np.concatenate([head[1:], [True]])) & (n >= 0)
-        k, n = k[again], n[again]
-        for at in range(0, len(k), 100_000):
-            yield rows(k[at : at + 100_000], n[at : at + 100_000])
+        twice = ~(head & np.concatenate([head[1:], [True]])) & (n >= 0)
+        k, n = k[twice], n[twice]
+        for at in range(0, len(k), 50_000):
+            yield rows(k[at : at + 50_000], n[at : at + 50_000])
 
 
 def _possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
@@ -249,29 +248,21 @@ def _possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
                 keep.append(far <= (m + n) * (100 - percent) // (100 + percent))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "an", "bn", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "an", "bn", "x", "y").mapInArrow(task(run), "a long, b long")
 
 
-def _verified(source: DataFrame, pairs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets have the Jaccard index. Only members of pairs send their sets."""
-    pairs = stored(pairs, "jaccard-pairs")
+def _verified(source: DataFrame, pairs: DataFrame, members: DataFrame, size: int, percent: int, n: int, entries: int) -> DataFrame:
+    """Pairs (a, b) whose whole sets have the Jaccard index. Only members of pairs send their sets. n, entries: documents and keys in all."""
+    pairs = stored(pairs, "jaccard-pairs", entries)
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    sets = stored(_sets(source, members.join(wanted, "rep", "left_semi").select("rep", "h1", "h2", "first_id"), size), "jaccard-sets")
-    a = sets.select(F.col("rep").alias("a"), F.col("packed").alias("pa"))
-    b = sets.select(F.col("rep").alias("b"), F.col("packed").alias("pb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("pa"), batch.column("pb")):
-                p, q = unpack(x.as_py()), unpack(y.as_py())
-                both = np.concatenate([p, q])
-                both.sort()
-                inter = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * inter >= percent * (len(both) - inter))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
+    sets = stored(_sets(source, members.join(wanted, "rep", "left_semi").select("rep", "h1", "h2", "first_id"), size), "jaccard-sets", n, 5_000)
+    x, y = (sets.select(F.col("rep").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
+    shared = F.size(F.array_intersect("set_a", "set_b"))  # row by row in the JVM: no batch of large sets
+    like = (100 + percent) * shared >= percent * (F.size("set_a") + F.size("set_b"))
+    links = stored(pairs.join(x, "a").join(y, "b").where(like).select("a", "b"), "jaccard-links", n, 5_000)
+    drop_stored(pairs)
+    drop_stored(sets)
+    return links
 
 
 def _tested(percent: int):
@@ -319,51 +310,61 @@ def _tested(percent: int):
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    return run
+    return task(run)
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: key, n_shingles and component_id (the smallest key reachable by links)."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = parts * BUCKETS_EACH
     source = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    mapped = source.mapInArrow(_mapped("_id", "_text", size, percent, buckets), _ROW).repartition(parts, "bucket")
+    mapped = source.mapInArrow(_mapped("_id", "_text", size, percent, parts), _ROW).repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
     met = stored(mapped.mapInArrow(_repeated, f"key long, {_META}"), "jaccard")
 
     # Equal sets count as one: their first node stands for all.
     facts = met.where("key IS NULL").drop("key")
-    reps = facts.groupBy("h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.min("id").alias("first_id"))
-    docs = stored(facts.join(reps, ["h1", "h2"]).select("node", "id", "n", "h1", "h2", "rep", "first_id", F.when(F.col("node") == F.col("rep"), F.col("sketch")).alias("sketch")), "jaccard-docs")
-    mates = met.where("key IS NOT NULL").select("key", "node").join(docs.select("node", "rep"), "node").groupBy("key", "rep").agg(F.lit(1).alias("one"))
+    n = facts.count()
+    reps = facts.groupBy("h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("_rows"), F.min("id").alias("first_id")).withColumn("copies", F.col("_rows"))
+    docs = join_spread(facts, reps, ["h1", "h2"], n)
+    docs = stored(docs.select("node", "id", "n", "h1", "h2", "rep", "copies", "first_id", F.when(F.col("node") == F.col("rep"), F.col("sketch")).alias("sketch")), "jaccard-docs", n)
+    rows = met.where("key IS NOT NULL").select("key", "node")
+    entries = rows.count()
+    mates = rows.join(docs.select("node", "rep"), "node").groupBy("key", "rep").agg(F.lit(1).alias("one")).select("key", "rep")
     # Keys with equal members make one group: members are compared by two sums over their hashes.
     signs = [F.bit_xor(F.xxhash64("rep")).alias("s1"), F.sum(F.shiftrightunsigned(F.xxhash64("rep", F.lit(1)), 24)).alias("s2")]
     counts = mates.groupBy("key").agg(F.count("*").alias("m"), *signs).where("m > 1")
-    counts = counts.groupBy("m", "s1", "s2").agg(F.min("key").alias("key"), F.count("*").alias("keys"))
-    mates = stored(mates.join(counts.select("key", "m", "keys"), "key").select("key", "rep", "m", "keys"), "jaccard-groups")
+    counts = counts.groupBy("m", "s1", "s2").agg(F.min("key").alias("key"), F.count("*").alias("keys")).select("key", "m", "keys", F.col("m").alias("_rows"))
+    mates = stored(join_spread(mates, counts, "key", entries), "jaccard-groups", entries, 500_000)
+    drop_stored(met)
 
     # Each group's hub is the member that meets most others.
     degree = mates.groupBy("rep").agg(F.sum(F.col("m") * F.col("keys")).alias("deg"))
-    placed = mates.select("key", "rep").join(degree, "rep")
-    hubs = placed.groupBy("key").agg(F.max(F.struct("deg", F.negative("rep").alias("minus"))).alias("best")).select("key", F.negative("best.minus").alias("hub"))
-    stars = placed.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    placed = mates.select("key", "rep", "m").join(degree, "rep")
+    hubs = placed.groupBy("key").agg(F.max(F.struct("deg", F.negative("rep").alias("minus"))).alias("best"), F.first("m").alias("_rows")).select("key", F.negative("best.minus").alias("hub"), "_rows")
+    stars = join_spread(placed, hubs, "key", entries).where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     members = docs.where("sketch IS NOT NULL").join(degree.select("rep"), "rep", "left_semi")
-    members = stored(members.select("rep", "n", "h1", "h2", "sketch", "first_id"), "jaccard-members")
-    links = stored(_verified(source, _possible(stars, members, percent), members, size, percent), "jaccard-links")
+    members = stored(members.select("rep", "n", "h1", "h2", "sketch", "first_id"), "jaccard-members", n)
+    links = _verified(source, _possible(stars, members, percent), members, size, percent, n, entries)
     first = components(links)
 
     # What the hubs left apart: groups that still hold several components. A pair's only link was tried already.
     named = mates.select("key", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    apart = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi AND m > 2").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
-    rest = named.join(apart, "key").join(members.select("rep", "n", "sketch"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    apart = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("_rows")).where("lo < hi AND _rows > 2").select("key", "_rows", F.ceil(F.col("_rows") / BLOCK).cast("int").alias("nb"))
+    rest = join_spread(named, apart, "key", entries).join(members.select("rep", "n", "sketch"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "n", "comp", "sketch")
     dealt = dealt.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     more = dealt.mapInArrow(_tested(percent), "a long, b long").distinct()
-    late = _verified(source, _possible(more, members, percent), members, size, percent)
+    late = _verified(source, _possible(more, members, percent), members, size, percent, n, entries)
     final = components(links.unionByName(late))
-    named = docs.select("id", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    out = named.join(least, "comp")
+    for done in (first, mates, members, links, late):
+        drop_stored(done)
+
+    # The smallest id of each component, first among the different sets, then for their copies.
+    sets = docs.where(F.col("node") == F.col("rep")).select("rep", "copies", "first_id")
+    named = sets.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    least = named.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.count("*").alias("_rows"))
+    labelled = join_spread(named, least, "comp", n).select("rep", "component_id", F.col("copies").alias("_rows"))
+    out = join_spread(docs.select("id", "n", "rep"), labelled, "rep", n)
     lonely = F.col("n") == 0  # the empty set links with nothing, itself included
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(lonely, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -378,6 +379,7 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+@task
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(FILTER_BITS, bool)
     for b in batches:
@@ -389,27 +391,34 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(source: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """(rep, packed): the whole sets of the members, from their texts. A filter of fixed size keeps most others out."""
+    """(rep, set): the whole sets of the members, from their texts. A filter of fixed size keeps most others out."""
     words = members.select("first_id").mapInArrow(_words_of, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
     mask = np.zeros(FILTER_BITS // 64, np.int64)
     for r in words.collect():  # FILTER_BITS / 64 rows at most
         mask[r["word"]] = r["mask"]
     shared = source.sparkSession.sparkContext.broadcast(mask.tobytes())
 
+    def columns(rows: list) -> pa.RecordBatch:
+        i, h1, h2, s = zip(*rows)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (i, h1, h2)), lists(list(s))], ["_id", "h1", "h2", "set"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
         for b in batches:
             ids = _ids(b.column("_id"))
             maybe = np.logical_and.reduce([bits[p] for p in _places(ids)])
-            out = []
+            out, total = [], 0
             for row in np.flatnonzero(maybe).tolist():
                 s = shingles(b.column("_text")[row].as_py(), size)
                 if len(s):
-                    out.append((int(ids[row]), *identity(s), pack(s)))
-            for at in range(0, len(out), 500):
-                part = list(zip(*out[at : at + 500]))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.binary())], ["_id", "h1", "h2", "packed"])
-
-    found = source.mapInArrow(run, "_id long, h1 long, h2 long, packed binary")
+                    out.append((int(ids[row]), *identity(s), s.view(np.int64)))
+                    total += len(s)
+                if total > SET_VALUES:
+                    yield columns(out)
+                    out, total = [], 0
+            if out:
+                yield columns(out)
+
+    found = source.mapInArrow(task(run), "_id long, h1 long, h2 long, set array<long>")
     found = found.join(members.select("rep", "h1", "h2", "first_id"), ["h1", "h2"])
-    return found.where(F.col("_id") == F.coalesce("first_id", F.lit(-1))).dropDuplicates(["rep"]).select("rep", "packed")
+    return found.where(F.col("_id") == F.coalesce("first_id", F.lit(-1))).dropDuplicates(["rep"]).select("rep", "set")

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rivulet.llm.common import task
+
 #: Length of a profile and of a document's list.
 PROFILE = 400
 _BITS = np.uint64(21)
@@ -75,7 +77,7 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[st
                 counts = np.bincount(at, np.concatenate([c for _, c in found]), len(grams)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
-    found = docs.select(text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).mapInArrow(count, "lang string, gram long, n long")
+    found = docs.select(text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).mapInArrow(task(count), "lang string, gram long, n long")
     total = found.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS)))
     rank = F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("n"), "gram"))
     first = total.withColumn("rank", rank).where(F.col("rank") <= PROFILE).drop("rank")
@@ -125,4 +127,4 @@ def identify(df: DataFrame, known: dict[str, list[int]], text: str = "text", int
                 [b.column(f.name) for f in keep] + [pa.array([m[0] for m in made], pa.string()), pa.array([float(m[1]) for m in made], pa.float64())], names=[f.name for f in keep] + list(into)
             )
 
-    return df.mapInArrow(run, T.StructType([*keep, T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())]))
+    return df.mapInArrow(task(run), T.StructType([*keep, T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())]))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from rivulet.llm import repeats
-from rivulet.llm.common import table, utf8
+from rivulet.llm.common import table, task, utf8
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -24,7 +24,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return out.select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.select("doc_id", "text", "spans").mapInArrow(task(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 QUERIES = {"op3_repeats": op3_repeats}

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.functions.session import stored
-from rivulet.llm.common import mix64, utf8, word_hashes
+from rivulet.llm.common import mix64, task, utf8, word_hashes
 
 #: Labelled rows that the fit reads at most.
 FIT_ROWS = 20_000
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(keys, pa.int64())], ["_key", "_group"])
 
     schema = T.StructType([sample.schema["_key"], T.StructField("_group", T.LongType())])
-    firsts = sample.select("_key", "_text").mapInArrow(keyed, schema).groupBy("_group").agg(F.min("_key").alias("_key")).select("_key")
+    firsts = sample.select("_key", "_text").mapInArrow(task(keyed), schema).groupBy("_group").agg(F.min("_key").alias("_key")).select("_key")
     once = sample.join(F.broadcast(firsts), "_key", "left_semi")  # no more than the sample's rows
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             [pa.array(["", *names]), pa.array([n[1], *(seen[1][x] for x in names)], pa.int64()), pa.array([n[0], *(seen[0][x] for x in names)], pa.int64())], ["name", "pos", "neg"]
         )
 
-    counts = once.select("_text", "_label").mapInArrow(counted, "name string, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = once.select("_text", "_label").mapInArrow(task(counted), "name string, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counts = stored(counts.where("pos >= 3 OR name = ''"), "lexicon")
     total = counts.where("name = ''").first()
     if not total or not total["pos"] or not total["neg"]:
@@ -211,7 +211,7 @@ def _measured(df: DataFrame, lexicon: Lexicon, text: str, into: str = "_measure"
             rows = [list(lexicon.measure(t.as_py())) for t in b.column(text)]
             yield pa.RecordBatch.from_arrays([b.column(f.name) for f in keep] + [pa.array(rows, pa.list_(pa.float64()))], names=[f.name for f in keep] + [into])
 
-    return df.mapInArrow(run, T.StructType([*keep, T.StructField(into, T.ArrayType(T.DoubleType()))]))
+    return df.mapInArrow(task(run), T.StructType([*keep, T.StructField(into, T.ArrayType(T.DoubleType()))]))
 
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text", into: str = "score") -> DataFrame:
@@ -224,6 +224,6 @@ def score(df: DataFrame, lexicon: Lexicon, text: str = "text", into: str = "scor
             made = pa.array(lexicon.score(rows), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(f.name) for f in keep] + [made], names=[f.name for f in keep] + [into])
 
-    return df.mapInArrow(run, T.StructType([*keep, T.StructField(into, T.DoubleType())]))
+    return df.mapInArrow(task(run), T.StructType([*keep, T.StructField(into, T.DoubleType())]))
 
 
