@@ -3,21 +3,24 @@
 A byte is repeated if a string of ``length`` bytes around it also starts earlier (in a document of smaller key, or in the
 same one). Equal texts count once: a later copy is repeated as a whole.
 
-Every string of that length has an anchor, the k-mer with the smallest hash in it (the leftmost of equals); equal
-strings have equal anchors. Python tasks pack anchors into blobs by bucket, and only anchors that occur again go on, each
-with the snippet of text that its strings cover. Snippets of the same anchors meet in one task, which concatenates
-them in document order, builds the run-compressed Burrows-Wheeler transform of the whole and keeps, of the suffix
+Every string of that length has an anchor, the smallest hash of a k-mer in it; equal strings have equal anchors, and a run
+of strings with one anchor goes together. Python tasks pack anchors into blobs by bucket, and only anchors that occur again
+go on, each with the snippet of text that its run of strings covers. Snippets of the same anchors meet in one task, which
+concatenates them in document order, builds the run-compressed Burrows-Wheeler transform of the whole and keeps, of the suffix
 array, only samples at the run boundaries. From these it streams the matching statistics of the text against itself:
 at each place the length of the longest match with the lexicographic neighbour, and where that is. Matches of
 ``length`` or more chain equal strings; all but the first of a chain are marked.
 
 How it stays bounded: an anchor or snippet that several documents of a batch share goes on once, and what is known to be
-repeated then travels apart, dealt at random; a task's index covers about ``INDEX_BYTES`` (one anchor's snippets
-at least). Texts move once by key and are reused from that shuffle.
+repeated then travels apart, dealt at random; a run of strings is cut every ``RUN`` places, so that periodic texts become equal
+snippets; blobs are worked off by ranges of anchors, and a task's index covers about ``INDEX_BYTES`` (one anchor's snippets
+at least). Texts move once by key and are reused from that shuffle. A document is known by its key and a hash of its text,
+without a key by two hashes: 128 bits.
 
 Defined results: null texts are empty; texts shorter than ``length`` have no repeated byte; bytes are those of UTF-8; null keys
 come after all others; rows equal in key and text count as one document and get equal results, equal keys with
-different texts are put in order by a hash; further columns pass through; an empty table gives an empty one.
+different texts are put in order by a hash; further columns pass through whatever their names, ``spans`` is replaced; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,22 +33,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import mix64, prefix_hash, span_hash, utf8
+from rivulet.llm.common import mix64, prefix_hash, ranges, set_apart, span_hash, task, utf8
 
 #: Bytes of an anchor, of a piece of a very long text, and of the text of one index.
-KMER, PIECE, INDEX_BYTES = 32, 1 << 22, 1 << 20
-#: Anchors that a task gathers before it writes them out.
-BATCH = 500_000
+KMER, PIECE, INDEX_BYTES = 32, 1 << 20, 1 << 19
+#: Strings of a run that go together: a few times the longest period that one anchor can cover.
+RUN = 1 << 14
+#: Anchors, snippets and bytes of snippets that a task gathers before it writes them out.
+BATCH, SNIPPETS, SNIPPET_BYTES = 400_000, 40_000, 8 << 20
+#: Key ranges in which a task compares the anchors that it was dealt, one after the other.
+RANGES = 8
 _U = np.uint64
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, hashes and first string starts of the anchors of a text; an anchor's strings end where the next's begin."""
+def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings of one anchor: first starts, ends of the starts, anchors, and whether strings of the run can be equal.
+
+    Equal strings have their anchor at the same distance, so in a run with equal ones it stands at several places.
+    """
     n = len(data) - length + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, bool)
     width = length - KMER + 1
-    places, hashes, firsts = [], [], []
+    firsts, hashes, several = [], [], []
     for start in range(0, n, PIECE):
         part = data[start : min(len(data), start + PIECE + length - 1)]
         k = np.arange(len(part) - KMER + 1)
@@ -58,13 +68,15 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
         if size < width:
             low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
         at = (low & _U(0xFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        places.append(at[first] + start)
-        hashes.append(h[at[first]])
+        low = h[at]
+        new = np.concatenate([[True], low[1:] != low[:-1]])
+        new[RUN - 1 - (start - 1) % RUN :: RUN] = True
+        first = np.flatnonzero(new)
         firsts.append(first + start)
-    p, h, f = np.concatenate(places), np.concatenate(hashes), np.concatenate(firsts)
-    keep = np.concatenate([[True], p[1:] != p[:-1]])
-    return p[keep], h[keep], f[keep]
+        hashes.append(low[first])
+        several.append(at[first] != at[np.append(first[1:], len(at)) - 1])
+    f, h = np.concatenate(firsts), np.concatenate(hashes)
+    return f, np.append(f[1:], n), mix64(h), np.concatenate(several)  # smallest hashes lie close together: mixed again
 
 
 class RunIndex:
@@ -116,12 +128,12 @@ class RunIndex:
             order = np.argsort(key)
             k = key[order]
             new = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-            rank = np.empty(n, np.int64)
+            rank = np.empty(n, np.int32)  # an index is far smaller than 2**31
             rank[order] = new
             ranks.append((depth, rank))
             if new[-1] == n - 1:
                 return order, ranks
-            key = rank * (n + 1)
+            key = rank.astype(np.int64) * (n + 1)
             key[: n - depth] += rank[depth:] + 1
             depth *= 2
 
@@ -177,68 +189,70 @@ class RunIndex:
 def _anchored(text: str, length: int, buckets: int):
     """Task: anchors to blobs by bucket; anchors shared within a batch have rows of their own, dealt at random."""
 
-    def flush(keys: list, docs: list, places: list, turn: int) -> Iterator[pa.RecordBatch]:
-        k, d, p = np.concatenate(keys), np.repeat(np.array(docs, np.int64), [len(x) for x in keys]), np.concatenate(places).astype(np.int32)
+    def flush(keys: list, docs: list, places: list, several: list, turn: int) -> Iterator[pa.RecordBatch]:
+        k, d, p = np.concatenate(keys), np.repeat(np.array(docs, np.int64), [len(x) for x in keys], axis=0), np.concatenate(places).astype(np.int32)
         order = np.argsort(k, kind="stable")
         k, d, p = k[order], d[order], p[order]
         head = np.concatenate([[True], k[1:] != k[:-1]])
-        single = head & np.concatenate([head[1:], [True]])
+        single = head & np.concatenate([head[1:], [True]]) & ~np.concatenate(several)[order]
         rows = []
         shared = np.flatnonzero(~single)
         for i, at in enumerate(np.array_split(shared, max(1, len(shared) // 8192))):
             if len(at):
-                rows.append((-1 - int(mix64(np.array([int(d[at[0]]) % (1 << 62) + turn + i], _U))[0] % _U(buckets)), b"", d[at].tobytes(), p[at].tobytes()))
+                rows.append((-1 - int(mix64(np.array([int(d[at[0], 1]) % (1 << 62) + turn + i], _U))[0] % _U(buckets)), b"", d[at].tobytes(), p[at].tobytes()))
         k, d, p, lone = k[head], d[head], p[head], single[head]
-        bucket = (k >> _U(30)) % _U(buckets)
+        bucket = (k >> _U(16)) % _U(buckets)
         order = np.argsort(bucket, kind="stable")
-        k, d, p, lone, bucket = k[order], d[order], np.where(lone, p, -1)[order].astype(np.int32), lone[order], bucket[order]
+        k, d, p, bucket = k[order], d[order], np.where(lone, p, -1)[order].astype(np.int32), bucket[order]
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         for s, e in zip(cut, [*cut[1:], len(k)]):
             rows.append((int(bucket[s]), k[s:e].tobytes(), d[s:e].tobytes(), p[s:e].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], ["bucket", "keys", "docs", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, places, total, turn = [], [], [], 0, 0
-        done: set[int] = set()  # equal rows lie in one partition and count as one document
+        keys, docs, places, several, total, turn = [], [], [], [], 0, 0
+        done: set[tuple[int, int]] = set()  # equal rows lie in one partition and count as one document
         for b in batches:
-            for i, t in zip(b.column("_doc").to_pylist(), b.column(text)):
-                if i in done:
+            for d, t in zip(zip(b.column("d1").to_pylist(), b.column("d2").to_pylist()), b.column(text)):
+                if d in done:
                     continue
-                done.add(i)
-                p, h, _ = anchors(np.frombuffer(utf8(t.as_py()), np.uint8), length)
-                if len(p):
-                    keys.append(h)
-                    docs.append(i)
-                    places.append(p)
-                    total += len(p)
-                if total >= BATCH:
-                    yield from flush(keys, docs, places, turn)
-                    turn += total
-                    keys, docs, places, total = [], [], [], 0
+                done.add(d)
+                first, _, h, more = anchors(np.frombuffer(utf8(t.as_py()), np.uint8), length)
+                for at in range(0, len(first), BATCH):
+                    keys.append(h[at : at + BATCH])
+                    docs.append(d)
+                    places.append(first[at : at + BATCH])
+                    several.append(more[at : at + BATCH])
+                    total += len(keys[-1])
+                    if total >= BATCH:
+                        yield from flush(keys, docs, places, several, turn)
+                        turn += total
+                        keys, docs, places, several, total = [], [], [], [], 0
         if keys:
-            yield from flush(keys, docs, places, turn)
+            yield from flush(keys, docs, places, several, turn)
 
-    return run
+    return task(run)
 
 
+@task
 def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: of the blobs of some buckets, the anchors that occur again, as (doc, place)."""
+    """Task: of blobs of sorted anchors those that occur again, as (d1, d2, place), one range of anchors after the other."""
 
     def rows(d: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for s in range(0, len(d), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(d[s : s + 100_000]), pa.array(p[s : s + 100_000])], ["_doc", "place"])
+        for s in range(0, len(d), 50_000):
+            part = slice(s, s + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(d[part, 0]), pa.array(d[part, 1]), pa.array(p[part])], ["d1", "d2", "place"])
 
     held = []
     for b in batches:
-        for bucket, k, d, p in zip(*(b.column(c).to_pylist() for c in ("bucket", "keys", "docs", "places"))):
-            d, p = np.frombuffer(d, np.int64), np.frombuffer(p, np.int32)
-            if bucket < 0:
+        for bucket, k, d, p in zip(*(b.column(c) for c in ("bucket", "keys", "docs", "places"))):
+            d, p = np.frombuffer(d.as_py(), np.int64).reshape(-1, 2), np.frombuffer(p.as_py(), np.int32)
+            if bucket.as_py() < 0:
                 yield from rows(d, p)
             else:
-                held.append((np.frombuffer(k, _U), d, p))
-    if held:
-        k, d, p = (np.concatenate(x) for x in zip(*held))
-        del held
+                held.append((np.frombuffer(k.as_py(), _U), d, p))
+    for part in ranges(held, RANGES):
+        k, d, p = (np.concatenate(x) for x in zip(*part))
         order = np.argsort(k, kind="stable")
         k = k[order]
         head = np.concatenate([[True], k[1:] != k[:-1]])
@@ -247,58 +261,60 @@ def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(d[again], p[again])
 
 
-_MARK = ["key", "_ord", "_doc", "start", "stop", "snippet"]
+_MARK = ["key", "ord", "d1", "d2", "start", "stop", "snippet"]
 
 
 def _snippets(text: str, length: int):
     """Task: the snippets of repeated anchors; those that stood earlier in the batch as marks already."""
 
     def flush(found: list) -> Iterator[pa.RecordBatch]:
-        found.sort(key=lambda r: r[:3])
+        found.sort(key=lambda r: r[:4])
         seen: set[tuple[int, bytes]] = set()
         rows = []
-        for o, d, s, e, key, snippet in found:
+        for o, d1, d2, s, e, key, snippet in found:
             if (key, snippet) in seen:
-                rows.append((d ^ (s * 0x9E3779B1), o, d, s, e, None))  # known already: dealt anywhere
+                rows.append((d2 ^ (s * 0x9E3779B1), o, d1, d2, s, e, None))  # known already: dealt anywhere
             else:
                 seen.add((key, snippet))
-                rows.append((key, o, d, s, e, snippet))
-        for at in range(0, len(rows), 20_000):
-            part = list(zip(*rows[at : at + 20_000]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(part[i], pa.int64()) for i in range(5)), pa.array(part[5], pa.binary())], _MARK)
+                rows.append((key, o, d1, d2, s, e, snippet))
+        for at in range(0, len(rows), 10_000):
+            part = list(zip(*rows[at : at + 10_000]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(part[i], pa.int64()) for i in range(6)), pa.array(part[6], pa.binary())], _MARK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
-        done: set[int] = set()
+        found, size = [], 0
+        done: set[tuple[int, int]] = set()
         for b in batches:
-            for d, o, t, want in zip(b.column("_doc").to_pylist(), b.column("_ord").to_pylist(), b.column(text), b.column("places")):
-                if d in done:
+            for d1, d2, o, t, want in zip(*(b.column(c).to_pylist() for c in ("d1", "d2", "ord")), b.column(text), b.column("places")):
+                if (d1, d2) in done:
                     continue
-                done.add(d)
+                done.add((d1, d2))
                 x = utf8(t.as_py())
-                p, h, first = anchors(np.frombuffer(x, np.uint8), length)
-                stop = np.append(first[1:], len(x) - length + 1)
-                some = np.isin(p, want.values.to_numpy())
-                found.extend((o, d, s, e, k, x[s : e + length - 1]) for s, e, k in zip(first[some].tolist(), stop[some].tolist(), h[some].view(np.int64).tolist()))
-                if len(found) > 100_000:
-                    yield from flush(found)
-                    found = []
+                first, stop, h, _ = anchors(np.frombuffer(x, np.uint8), length)
+                for i in np.flatnonzero(np.isin(first, want.values.to_numpy())):
+                    s, e = int(first[i]), int(stop[i])
+                    found.append((o, d1, d2, s, e, int(h[i].view(np.int64)), x[s : e + length - 1]))
+                    size += e - s + length
+                    if len(found) >= SNIPPETS or size >= SNIPPET_BYTES:
+                        yield from flush(found)
+                        found, size = [], 0
         if found:
             yield from flush(found)
 
-    return run
+    return task(run)
 
 
 def _marked(length: int):
-    """Task: rows sorted by anchor; an index over the snippets of some anchors at a time; marks (doc, start, stop)."""
+    """Task: rows sorted by anchor; an index over the snippets of some anchors at a time; marks (d1, d2, start, stop)."""
+    names = ["d1", "d2", "start", "stop"]
 
     def index(rows: pa.Table) -> pa.RecordBatch:
-        o, d, s = (rows.column(c).to_numpy() for c in ("_ord", "_doc", "start"))
-        stop, snippets = rows.column("stop").to_numpy(), rows.column("snippet").to_pylist()
+        o, d1, d2, s, stop = (rows.column(c).to_numpy() for c in ("ord", *names))
+        snippets = rows.column("snippet").to_pylist()
         # Of equal snippets the first is indexed; all strings of the others have been seen in it.
         firsts: dict[bytes, int] = {}
         later = []
-        for i in np.lexsort((s, d, o)).tolist():
+        for i in np.lexsort((s, d2, d1, o)).tolist():
             if firsts.setdefault(snippets[i], i) != i:
                 later.append(i)
         order = np.fromiter(firsts.values(), np.int64, len(firsts))
@@ -309,7 +325,7 @@ def _marked(length: int):
         which = np.searchsorted(found.starts, begin, side="right") - 1
         row = order[which]
         shift = s[row] - found.starts[which]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[row], d[later]])), pa.array(np.concatenate([begin + shift, s[later]])), pa.array(np.concatenate([end + shift, stop[later]]))], ["_doc", "start", "stop"])
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([x[row], x[later]])) for x in (d1, d2)), pa.array(np.concatenate([begin + shift, s[later]])), pa.array(np.concatenate([end + shift, stop[later]]))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -318,7 +334,7 @@ def _marked(length: int):
             known = b.column("snippet").is_null()
             if known.true_count:
                 done = b.filter(known)
-                yield pa.RecordBatch.from_arrays([done.column(c) for c in ("_doc", "start", "stop")], ["_doc", "start", "stop"])
+                yield pa.RecordBatch.from_arrays([done.column(c) for c in names], names)
                 b = b.filter(b.column("snippet").is_valid())
             if not b.num_rows:
                 continue
@@ -328,54 +344,59 @@ def _marked(length: int):
                 continue
             rows = pa.Table.from_batches(held)
             key = rows.column("key").to_numpy()
-            cut = int(np.searchsorted(np.cumsum(key[1:] != key[:-1]), (key[1:] != key[:-1]).sum())) + 1 if (key[1:] != key[:-1]).any() else 0
-            if cut:
+            last = np.flatnonzero(key[1:] != key[:-1])
+            if len(last):
+                cut = int(last[-1]) + 1
                 yield index(rows.slice(0, cut))
-                held = rows.slice(cut).to_batches()
-                size = sum(len(x) for x in rows.column("snippet").slice(cut).to_pylist())
+                held = [pa.RecordBatch.from_pylist(rows.slice(cut).to_pylist(), rows.schema)]  # a copy, so that the rest is freed
+                size = held[0].column("snippet").nbytes
         if held:
             yield index(pa.Table.from_batches(held))
 
-    return run
+    return task(run)
 
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
     """Appends spans: sorted, disjoint byte ranges (start, stop) of the text that are repeated."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = [c for c in df.columns if c not in ("spans", "_ord", "_doc", "_same", "_first", "_marks")]
-    body = F.coalesce(F.col(text), F.lit(""))
-    named = df.select(*own).withColumn("_ord", F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))).withColumn("_doc", F.xxhash64("_ord", body))
+    plain, name, back = set_apart(df, "spans")
+    at, own = name[text], [c for c, _ in back]
+    body, id_ = F.coalesce(F.col(at), F.lit("")), F.col(name[key]).cast("long")
+    hashed = lambda seed: F.xxhash64(F.lit(seed), body)  # noqa: E731  the seed first: hashes that are independent
+    named = plain.withColumn("ord", F.coalesce(id_, F.lit(2**63 - 1))).withColumn("d1", F.coalesce(id_, hashed(1))).withColumn("d2", hashed(2))
     # The first document of each text; later copies take no part.
-    same = F.struct(F.xxhash64(body), F.xxhash64(body, F.lit(1)), F.octet_length(body))
-    first = named.groupBy(same.alias("_same")).agg(F.min(F.struct("_ord", "_doc")).alias("f")).select(F.col("f._doc").alias("_doc"), F.lit(True).alias("_first"))
+    same = F.struct(hashed(3), "d2", F.octet_length(body))
+    first = named.groupBy(same.alias("same")).agg(F.min(F.struct("ord", "d1", "d2")).alias("f")).select("f.d1", "f.d2", F.lit(True).alias("first"))
     # The one shuffle of texts. All that follows reads the same columns of it, so that it is reused.
-    columns = [*own, "_ord", "_doc"]
-    flagged = named.select(*columns).repartition(parts, "_doc").join(first.hint("shuffle_hash"), "_doc", "left")
-    firsts = flagged.where("_first").select(*columns)
-    blobs = firsts.mapInArrow(_anchored(text, length, parts), "bucket int, keys binary, docs binary, places binary").repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
-    again = blobs.mapInArrow(_again, "_doc long, place int").groupBy("_doc").agg(F.collect_set("place").alias("places"))
-    found = firsts.join(again.hint("shuffle_hash"), "_doc").select(*columns, "places").mapInArrow(_snippets(text, length), "key long, _ord long, _doc long, start long, stop long, snippet binary")
+    columns = [*own, "ord", "d1", "d2"]
+    flagged = named.select(*columns).repartition(parts, "d1", "d2").join(first.hint("shuffle_hash"), ["d1", "d2"], "left")
+    firsts = flagged.where("first").select(*columns)
+    blobs = firsts.mapInArrow(_anchored(at, length, parts), "bucket int, keys binary, docs binary, places binary")
+    blobs = blobs.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
+    again = blobs.mapInArrow(_again, "d1 long, d2 long, place int").groupBy("d1", "d2").agg(F.collect_set("place").alias("places"))
+    found = firsts.join(again.hint("shuffle_hash"), ["d1", "d2"]).select(*columns, "places").mapInArrow(_snippets(at, length), "key long, ord long, d1 long, d2 long, start long, stop long, snippet binary")
     dealt = found.repartition(parts, "key").sortWithinPartitions("key")
-    marks = dealt.mapInArrow(_marked(length), "_doc long, start long, stop long")
-    each = marks.groupBy("_doc").agg(F.collect_list(F.struct("start", "stop")).alias("_marks"))
-    whole = flagged.join(each.hint("shuffle_hash"), "_doc", "left")
-    keep = T.StructType([df.schema[c] for c in own])
+    marks = dealt.mapInArrow(_marked(length), "d1 long, d2 long, start long, stop long")
+    each = marks.groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
+    whole = flagged.join(each.hint("shuffle_hash"), ["d1", "d2"], "left")
+    keep = T.StructType([plain.schema[c] for c in own])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = []
-            for t, is_first, m in zip(b.column(text), b.column("_first").to_pylist(), b.column("_marks").to_pylist()):
+            for t, is_first, m in zip(b.column(at), b.column("first").to_pylist(), b.column("marks")):
                 if not is_first:
                     n = len(utf8(t.as_py()))
                     spans.append([{"start": 0, "stop": n}] if n >= length else [])
                 else:
-                    spans.append(joined([(x["start"], x["stop"] + length - 1) for x in m or ()]))
+                    spans.append(joined([(x["start"], x["stop"] + length - 1) for x in m.as_py() or ()]))
             made = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([b.column(f.name) for f in keep] + [made], names=[f.name for f in keep] + ["spans"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in own] + [made], names=[*own, "spans"])
 
     span = T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))
-    return whole.select(*columns, "_first", "_marks").mapInArrow(finish, T.StructType([*keep, span]))
+    done = whole.select(*columns, "first", "marks").mapInArrow(task(finish), T.StructType([*keep, span]))
+    return done.select(*(F.col(c).alias(n) for c, n in back), "spans")
 
 
 def joined(ranges: list[tuple[int, int]]) -> list[dict]:

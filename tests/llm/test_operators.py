@@ -133,6 +133,27 @@ def test_repeats_brute_force(docs, none, rows):
         assert all(s == expected[k] for s in spans), k
     assert len(got[rows[3][0], rows[3][1]]) == 2
     assert repeats.repeats(none).count() == 0
+    clash = ["ord", "d1", "first", "marks", "_doc", "c0"]
+    out = repeats.repeats(docs.withColumns({c: F.lit(c) for c in clash}))
+    assert out.columns == [*docs.columns, *clash, "spans"]
+    assert {tuple(r[c] for c in clash) for r in out.collect()} == {tuple(clash)}
+
+
+def test_repeats_in_long_periodic_texts(spark):
+    """Ten million letters of one kind, shorter and longer periods, and a long text twice: memory and figures stay in bounds."""
+    long = words_of(200_000, 21)
+    rows = [(1, "x" * 10_000_000), (2, "abc" * 300_000), (3, words_of(12, 22)[:65] * 9_000), (4, long), (5, "y" + long)]
+    got = {r["doc_id"]: [(s["start"], s["stop"]) for s in r["spans"]] for r in repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = [len(t) for _, t in rows]
+    assert [got[i] for i in range(1, 6)] == [[(1, n[0])], [(3, n[1])], [(len(words_of(12, 22)[:65]), n[2])], [], [(1, n[4])]]
+
+
+def test_anchors_are_few_and_cover_all():
+    for text in (b"x" * 100_000, b"ab" * 3000, words_of(3000, 4).encode(), b"z" * 100, b"short"):
+        first, stop, keys, several = repeats.anchors(np.frombuffer(text, np.uint8), 100)
+        assert (first[1:] == stop[:-1]).all() and (not len(first) or (first[0], stop[-1]) == (0, len(text) - 99))
+        if len(set(text)) < 3:
+            assert several.all() == (len(text) > 100) and len(set(keys.tolist())) <= 1 and len(first) <= len(text) // repeats.RUN + 2
 
 
 def test_run_index_matches_brute_force():
@@ -212,6 +233,12 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs_and_a_large_component(spark):
+    links = [(5, 1000 + i) for i in range(3500)] + [(9000, 1000), (9001, 9000), (2, 9001)] + [(20_000 + i, 20_001 + i) for i in range(50)] + [(None, 1), (1, None)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {got[i] for i in [5, 2, 9000, 9001, *range(1000, 4500)]} == {2} and {got[20_000 + i] for i in range(51)} == {20_000} and len(got) == 3504 + 51
+
+
 # --- Toxicity ------------------------------------------------------------------------------------
 
 
