@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions.session import stored
 from rivulet.llm import bpe, jaccard, mixing, op01, op07, repeats, toxicity
-from rivulet.llm.common import table, utf8
+from rivulet.llm.common import table, task, utf8
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -60,7 +60,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
             columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], b.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([columns[f.name] for f in fields], names=[f.name for f in fields])
 
-    return found.select(*COLUMNS, "spans").mapInArrow(cut, docs.schema).select(*COLUMNS)
+    return found.select(*COLUMNS, "spans").mapInArrow(task(cut), docs.schema).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
