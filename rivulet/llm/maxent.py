@@ -2,8 +2,10 @@
 
 The probability of a token mixes, from the widest context to the narrowest, the counts of word triples, of word pairs and
 of word pairs that skip a place with the probability of the narrower contexts (Dirichlet smoothing, so that the
-probabilities after any context add up). These grams are counted over all training texts by hash, in a space of 2**16
-places per byte of text: none is dropped, and space and counts grow with the corpus. Below them stands the probability of the token's class times that of the token within its class.
+probabilities after any context add up, to 1 at most). In log-linear terms a gram seen c times has the weight log(1 + c / (a p)) over
+the narrower p, and its context the normaliser 1 + n / a: sparse features of words, in closed form. These grams are counted over all training texts by hash, in a space of 512
+places per byte of text: none is dropped, and space and counts grow with the corpus. Below them stands the probability of the
+token's class times that of the token within its class.
 The class comes from a softmax of fixed size over weights of hashed features: the buckets of the two words before, pairs
 of classes before and pairs and triples that skip places. Within a class, token counts of the whole training corpus are
 smoothed by one.
@@ -14,7 +16,7 @@ size). The end of a text is a class of its own. Training runs in rounds over dis
 together hold them all: every task takes the weights so far, makes its own gradient steps (Adagrad) in batches, and the
 tasks' weights are averaged by tokens.
 
-Counts of words (64-bit hash) and grams are shared by chunks of text: a chunk sends each of its keys once with its own
+Counts of words (50 bits of a hash and the bucket) and grams are shared by chunks of text: a chunk sends each of its keys once with its own
 count, sorted and cut by key range into shards; a shard adds up the counts and sends the sums back in the order of the
 chunk's keys, where they meet the chunk's texts again. No key comes more often than there are chunks, however common it is.
 
@@ -35,8 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.functions.session import drop_stored, stored
-from rivulet.llm.common import _LOWER, give_back, mix64, prefix_hash, span_hash, utf8, word_spans
+from rivulet.functions.session import stored
+from rivulet.llm.common import _LOWER, mix64, prefix_hash, span_hash, task, utf8, word_spans
 
 CLASSES = 24
 BUCKETS = 8192
@@ -49,8 +51,12 @@ STEP = 0.25
 BATCH, BYTES = 16_384, 1 << 19
 #: Bytes of text of a chunk, and of text whose keys a shard holds on average.
 CHUNK = 1 << 21
+#: Bits of a gram's key beyond those that number the bytes of all texts: 2**PLACES places a byte.
+PLACES = 9
 #: Weight of the narrower context, in tokens, for pairs and for triples.
 NARROW = (30.0, 8.0)
+#: Bits of a word's key that hold its bucket.
+BUCKET_MASK = (1 << 14) - 1
 END = np.uint64(0xE0E0E0E0E0E0E0E1)
 #: What stands one and two places before a text.
 START, START2 = np.uint64(0xA1A1A1A1A1A1A1A3), np.uint64(0xB2B2B2B2B2B2B2B5)
@@ -69,18 +75,21 @@ class Tokens:
 
 def tokens(texts: list[bytes]) -> Tokens:
     data = _LOWER[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
-    ends = np.cumsum([len(t) + 1 for t in texts])
     start, stop = word_spans(data)
-    p = prefix_hash(data)
-    h = span_hash(p, start, stop)
-    b = (span_hash(p, np.maximum(start, stop - 4), stop) % _U(BUCKETS)).astype(np.int32)
-    doc = np.searchsorted(ends, start, side="right")
-    n = np.bincount(doc, minlength=len(texts))
-    at = np.cumsum(n)
-    h, b = np.insert(h, at, END), np.insert(b, at, BUCKETS)
-    size = n + 1
-    first = np.cumsum(size) - size
-    return Tokens(h, b.astype(np.int32), np.arange(len(h)) - np.repeat(first, size), np.repeat(np.arange(len(texts)), size))
+    h = span_hash(prefix_hash(data), start, stop)
+    # The last four bytes of each word as one number, zeros before shorter words.
+    four = np.ndarray(len(data) + 1, "<u4", np.concatenate([np.zeros(4, np.uint8), data]), strides=1)
+    short = (8 * np.maximum(4 - (stop - start), 0)).astype(np.uint32)
+    last = four[stop] >> short << short
+    b = (mix64(last.astype(_U)) % _U(BUCKETS)).astype(np.int32)
+    upto = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
+    size = np.diff(upto, prepend=0) + 1
+    end = np.cumsum(size) - 1
+    word = np.ones(int(size.sum()), bool)
+    word[end] = False
+    hashes, buckets = np.full(len(word), END), np.full(len(word), BUCKETS, np.int32)
+    hashes[word], buckets[word] = h, b
+    return Tokens(hashes, buckets, np.arange(len(word)) - np.repeat(end + 1 - size, size), np.repeat(np.arange(len(texts)), size))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], text: str):
@@ -98,45 +107,27 @@ def _chunks(batches: Iterator[pa.RecordBatch], text: str):
             yield b, first, held
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: token counts (hash, n, bucket) and, at the end, the neighbours of each bucket in blocks (block, table)."""
-    around = np.zeros((BUCKETS + 1) * NEIGHBOURS, np.int64)
-    held: list[tuple] = []
-    size = 0
-    names = ["hash", "n", "bucket", "block", "table"]
-
-    def merged() -> tuple:
-        h, b, n = (np.concatenate(x) for x in zip(*held))
-        u, first, inv = np.unique(h, return_index=True, return_inverse=True)
-        return u, b[first], np.bincount(inv, n, len(u)).astype(np.int64)
-
-    def rows(h, b, n) -> Iterator[pa.RecordBatch]:
-        for s in range(0, len(h), 50_000):
-            part = slice(s, s + 50_000)
-            k = len(h[part])
-            yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(n[part]), pa.array(b[part].astype(np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+#: Blocks in which the neighbour table goes to be added up.
+BLOCKS = 64
+
 
+@task
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: for each bucket its neighbours and, in a column of their own, its tokens, in blocks (block, table)."""
+    wide = NEIGHBOURS + 1
+    around = np.zeros((BUCKETS + BLOCKS) * wide, np.int64)
     for _, _, texts in _chunks(batches, "_text"):
         t = tokens(texts)
         near = (t.hash % _U(NEIGHBOURS)).astype(np.int64)
+        at = t.bucket.astype(np.int64) * wide
+        cells = [at + NEIGHBOURS]
         for lag in (1, 2, 3):
             ok = t.place[lag:] >= lag
-            for x, y in ((t.bucket[lag:], near[:-lag]), (t.bucket[:-lag], near[lag:])):
-                around += np.bincount(x[ok].astype(np.int64) * NEIGHBOURS + y[ok], minlength=len(around))
-        u, first, n = np.unique(t.hash, return_index=True, return_counts=True)
-        held.append((u, t.bucket[first], n))
-        size += len(u)
-        if size > 600_000:
-            held = [merged()]
-            size = len(held[0][0])
-            if size > 300_000:
-                yield from rows(*held[0])
-                held, size = [], 0
-    if held:
-        yield from rows(*merged())
-        table = around.reshape(-1, NEIGHBOURS)[:BUCKETS].reshape(64, -1)
-        full = [i for i in range(64) if table[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([table[i].astype(np.int64).tobytes() for i in full], pa.binary())], names)
+            cells += [(at[lag:] + near[:-lag])[ok], (at[:-lag] + near[lag:])[ok]]
+        around += np.bincount(np.concatenate(cells), minlength=len(around))
+    table = around.reshape(BLOCKS, -1)
+    full = [i for i in range(BLOCKS) if table[i].any()]
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([table[i].tobytes() for i in full], pa.binary())], ["block", "table"])
 
 
 def _summed(kind: str):
@@ -150,13 +141,15 @@ def _summed(kind: str):
                 total[i] = total[i] + x if i in total else x
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "table"])
 
-    return run
+    return task(run)
 
 
-def _added(df: DataFrame, kind: str, blocks: int) -> dict[int, np.ndarray]:
-    """The sum of each block's tables: added up in tasks first, then one table per block."""
-    part = df.select("block", "table").mapInArrow(_summed(kind), "block int, table binary")
-    rows = part.repartition(blocks, "block").mapInArrow(_summed(kind), "block int, table binary").collect()  # one fixed-size table per block
+def _added(df: DataFrame, kind: str) -> dict[int, np.ndarray]:
+    """The sum of each block's tables, in two steps where there are many: in groups first, one task each, then of the groups."""
+    fan = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BLOCKS)
+    group = (F.col("block") * fan + F.pmod(F.xxhash64("table"), F.lit(fan))).cast("int")
+    part = df.select("block", "table").repartitionById(BLOCKS * fan, group).mapInArrow(_summed(kind), "block int, table binary")
+    rows = part.repartitionById(BLOCKS, F.col("block")).mapInArrow(_summed(kind), "block int, table binary").collect()  # one fixed-size table per block
     return {r["block"]: np.frombuffer(r["table"], kind) for r in rows}
 
 
@@ -228,8 +221,9 @@ def _trained(model: Model):
                 g = np.exp(log_softmax(w, model.bias, i))
                 g[np.arange(len(y)), y] -= 1
                 for j in range(SLOTS):
-                    order = np.argsort(i[:, j], kind="stable")
-                    key = i[order, j]
+                    short = i[:, j].astype(np.uint16)  # sorted by digits
+                    order = np.argsort(short, kind="stable")
+                    key = short[order]
                     cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                     rows, size = key[cut], np.diff([*cut, len(key)])
                     step = np.add.reduceat(g[order], cut, axis=0) / size[:, None].astype(np.float32)
@@ -237,14 +231,19 @@ def _trained(model: Model):
                     w[rows] -= STEP / SLOTS * step * np.minimum(1, size / 20).astype(np.float32)[:, None] / np.sqrt(0.05 + scale[rows])[:, None]
             seen += len(classes)
         if seen:
-            table = np.concatenate([(w.astype(np.float64) * seen).reshape(16, -1), np.full((16, 1), float(seen))], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in table], pa.binary())], ["block", "table"])
+            table = np.concatenate([(w.astype(np.float64) * seen).reshape(BLOCKS, -1), np.full((BLOCKS, 1), float(seen))], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in table], pa.binary())], ["block", "table"])
+
+    return task(run)
+
 
-    return run
+def words(t: Tokens) -> np.ndarray:
+    """Key of each token: a hash, with the bucket in the last bits."""
+    return (t.hash & ~_U(BUCKET_MASK)) | t.bucket.astype(_U)
 
 
 def grams(t: Tokens, wide: int = 64) -> np.ndarray:
-    """Keys (5 x tokens): the word (64 bits) and, of ``wide`` bits, the context two places before, the pair, the pair over one place, the triple."""
+    """Keys of ``wide`` bits (3 x tokens): the pair, the pair over one place, the triple."""
 
     def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return mix64(x * _U(0x9E3779B97F4A7C15) + y)
@@ -255,18 +254,21 @@ def grams(t: Tokens, wide: int = 64) -> np.ndarray:
     w2[t.place < 1] = START2
     with np.errstate(over="ignore"):
         pair = joined(w1, t.hash)
-        skip = joined(w2, t.hash ^ _U(0x5851F42D4C957F2D))
-        keys = np.stack([t.hash, mix64(w2 ^ _U(0x14057B7EF767814F)), pair, skip, joined(joined(w2, w1), pair)])
-    keys[1:] >>= _U(64 - wide)
-    return keys
+        keys = np.stack([pair, joined(w2, t.hash ^ _U(0x5851F42D4C957F2D)), joined(joined(w2, w1), pair)])
+    return keys >> _U(64 - wide)
 
 
-def mixed(t: Tokens, n: np.ndarray, texts: float, p: np.ndarray) -> np.ndarray:
-    """Probability of each token from the counts of its :func:`grams`, the number of training texts and the class model's p."""
-    word, far, pair, skip, triple = n
-    near, two = np.full(len(p), texts), np.full(len(p), texts)
-    inner = t.place >= 1
+def mixed(t: Tokens, word: np.ndarray, n: np.ndarray, texts: float, p: np.ndarray) -> np.ndarray:
+    """Probability of each token from the counts of words and :func:`grams`, the number of training texts and the class model's p.
+
+    A context's count is that of its word or pair. Two places on, a text's last word is followed by nothing: that too is
+    an outcome, which no token has, so the probabilities of tokens add up to 1 at most.
+    """
+    pair, skip, triple = n
+    near, far, two = (np.full(len(p), texts) for _ in range(3))
+    inner, deep = t.place >= 1, t.place >= 2
     near[1:][inner[1:]] = word[:-1][inner[1:]]
+    far[2:][deep[2:]] = word[:-2][deep[2:]]
     two[1:][inner[1:]] = pair[:-1][inner[1:]]
     a, b = NARROW
     p = ((pair + a * p) / (near + a) + (skip + a * p) / (far + a)) / 2
@@ -360,9 +362,8 @@ def _sent(bits: int, wide: int):
             for parts in _pieces(held):
                 texts, trains = _texts(parts)
                 t = tokens(texts)
-                keys = grams(t, wide)
                 rows = []
-                for kind, k in enumerate((keys[:1], keys[1:])):
+                for kind, k in enumerate((words(t)[None], grams(t, wide))):
                     u, n = _own(k, trains[t.doc])
                     for i, c in enumerate(_cut(u, bits, (64, wide)[kind])):
                         if c.stop > c.start:
@@ -373,29 +374,42 @@ def _sent(bits: int, wide: int):
                     [pa.array(shard, pa.int32()), pa.array([int(chunk)] * k, pa.int64()), pa.array([first] * k, pa.int64()), pa.array(size, pa.int32()), pa.array(ks, pa.binary()), pa.array(ns, pa.binary())],
                     ["shard", "chunk", "place", "size", "keys", "n"],
                 )
-                del texts, t, keys, k, u, n, rows, ks, ns
-        give_back()
-
-    return run
-
-
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: the counts over all chunks of the keys of each shard and chunk, in the order of its keys."""
-    for shard, parts in _runs(batches, "shard"):
-        rows = [r for b in parts for r in zip(*(b.column(c).to_pylist() for c in ("chunk", "place", "size", "keys", "n")))]
-        at = np.concatenate([np.cumsum(_numbers(r[3], r[2]), dtype=np.uint64) for r in rows])
-        n = np.concatenate([_numbers(r[4], r[2]) for r in rows])
-        order = np.argsort(at)
-        at = at[order]
-        cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        total = np.empty_like(n)
-        total[order] = np.repeat(np.add.reduceat(n[order], cut), np.diff(cut, append=len(at)))
-        s = 0
-        for chunk, place, size, _, _ in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([int(shard)], pa.int32()), pa.array([chunk], pa.int64()), pa.array([place], pa.int64()), pa.array([size], pa.int32()), pa.array([_packed(total[s : s + size])], pa.binary())], ["shard", "chunk", "place", "size", "n"])
-            s += size
-        del parts, rows, at, n, order, cut, total
-    give_back()
+                del texts, t, u, n, rows, ks, ns
+
+    return task(run)
+
+
+def _answered(bits: int):
+    """Task: the counts over all chunks of the keys of each shard and chunk, in the order of its keys.
+
+    At its end, the different words of each bucket with a count, as a row without a shard.
+    """
+    names = ["shard", "chunk", "place", "size", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = np.zeros(BUCKETS + 1, np.int64)
+        for shard, parts in _runs(batches, "shard"):
+            rows = [r for b in parts for r in zip(*(b.column(c).to_pylist() for c in ("chunk", "place", "size", "keys", "n")))]
+            at = np.concatenate([np.cumsum(_numbers(r[3], r[2]), dtype=np.uint64) for r in rows])
+            n = np.concatenate([_numbers(r[4], r[2]) for r in rows])
+            rows = [r[:3] for r in rows]
+            order = np.argsort(at)
+            at = at[order]
+            cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            sums = np.add.reduceat(n[order], cut)
+            if shard >> bits == 0:
+                types += np.bincount((at[cut][sums > 0] & _U(BUCKET_MASK)).astype(np.int64), minlength=len(types))
+            total = np.empty_like(n)
+            total[order] = np.repeat(sums, np.diff(cut, append=len(at)))
+            s = 0
+            for chunk, place, size in rows:
+                yield pa.RecordBatch.from_arrays([pa.array([int(shard)], pa.int32()), pa.array([chunk], pa.int64()), pa.array([place], pa.int64()), pa.array([size], pa.int32()), pa.array([_packed(total[s : s + size])], pa.binary())], names)
+                s += size
+            del parts, rows, at, n, order, cut, total
+        if types.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([types.tobytes()], pa.binary())], names)
+
+    return task(run)
 
 
 def _found(keys: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -430,11 +444,11 @@ def _scored(key: str, model: Model | None, n: int, v: int, ends: int, gain: np.n
         for parts, sums in pieces(batches):
             texts, trains = _texts(parts)
             t = tokens(texts)
-            keys = grams(t, wide)
             none = np.zeros(0, np.uint64)
-            found = np.concatenate([_found(k, np.concatenate([none, *(_numbers(x, m) for shard, m, x in sums if shard >> bits == kind)])) for kind, k in enumerate((keys[:1], keys[1:]))])
-            del keys, sums
-            base = np.log10(found[0] + 1.0) - floor
+            word, found = (_found(k, np.concatenate([none, *(_numbers(x, m) for shard, m, x in sums if shard >> bits == kind)])) for kind, k in enumerate((words(t)[None], grams(t, wide))))
+            word = word[0]
+            del sums
+            base = np.log10(word + 1.0) - floor
             score = base
             if model is not None:
                 classes = model.class_of[t.bucket]
@@ -444,18 +458,17 @@ def _scored(key: str, model: Model | None, n: int, v: int, ends: int, gain: np.n
                     y = classes[s : s + BATCH]
                     extra[s : s + BATCH] = log_softmax(model.weights, model.bias, ids[s : s + BATCH])[np.arange(len(y)), y]
                 p = 10 ** (base + extra / np.log(10) + gain[classes])
-                score = np.minimum(np.log10(mixed(t, found, ends, p)), 0)
+                score = np.minimum(np.log10(mixed(t, word, found, ends, p)), 0)
             k = len(texts)
-            size, known = np.bincount(t.doc, minlength=k), np.bincount(t.doc, found[0] > 0, k).astype(np.int64)
+            size, known = np.bincount(t.doc, minlength=k), np.bincount(t.doc, word > 0, k).astype(np.int64)
             columns = [pa.concat_arrays([b.column(c) for b in parts]) for c in (key, "_held")]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(size), pa.array(known), pa.array(np.full(k, n)), pa.array(np.bincount(t.doc, base, k)), pa.array(np.bincount(t.doc, score, k))],
                 [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
-            del parts, texts, t, found
-        give_back()
+            del parts, texts, t, word, found
 
-    return run
+    return task(run)
 
 
 def _forget(df: DataFrame) -> None:
@@ -466,42 +479,41 @@ def _forget(df: DataFrame) -> None:
 
 def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Learns from the rows that are not held out and scores all: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    docs = df.select(F.col(key), F.col(text).alias("_text"), held_out.alias("_held"))
-    train = docs.where(~F.col("_held")).select("_text", F.pmod(F.xxhash64(key, F.length("_text")), F.lit(ROUNDS)).alias("_round"))
-    gathered = stored(train.select("_text").mapInArrow(_gathered, "hash long, n long, bucket int, block int, table binary"), "tokens")
-    counts = gathered.where("block IS NULL").groupBy("hash").agg(F.sum("n").alias("n"), F.min("bucket").alias("bucket"))
-    by_bucket = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # BUCKETS + 1 rows at most
-    total, types = sum(r["n"] for r in by_bucket), sum(r["v"] for r in by_bucket)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), held_out.alias("_held"))
+    kind = dict(docs.dtypes)["_key"]
+    docs = stored(docs.mapInArrow(task(_numbered), f"_key {kind}, _text string, _held boolean, chunk long, place long"), "chunks")
+    train = docs.where(~F.col("_held")).select("_text", F.pmod(F.xxhash64("_key", "chunk", "place"), F.lit(ROUNDS)).alias("_round"))
+    size = docs.agg(F.sum(F.octet_length("_text") + 1)).first()[0] or 0
+
+    # Counts of words and grams: sent by chunk, added up by shard, sent back.
+    bits = max(4, (size // CHUNK).bit_length() - 1)
+    wide = min(64, size.bit_length() + PLACES)
+    shards = docs.mapInArrow(_sent(bits, wide), "shard int, chunk long, place long, size int, keys binary, n binary").repartition(parts, "shard").sortWithinPartitions("shard")
+    answers = stored(shards.mapInArrow(_answered(bits), "shard int, chunk long, place long, size int, n binary"), "answers")
+    del shards
+    _forget(df)
+    types = _added(answers.where("shard IS NULL").select(F.lit(0).alias("block"), F.col("n").alias("table")), "int64").get(0, np.zeros(BUCKETS + 1, np.int64))
+
+    # Classes, and the softmax over them.
+    wide_table = np.zeros((BLOCKS, (BUCKETS // BLOCKS + 1) * (NEIGHBOURS + 1)), np.int64)
+    for i, x in _added(train.select("_text").mapInArrow(_gathered, "block int, table binary"), "int64").items():
+        wide_table[i] = x
+    around = wide_table.reshape(-1, NEIGHBOURS + 1)
+    per_bucket = around[: BUCKETS + 1, NEIGHBOURS]
+    total, ends = int(per_bucket.sum()), int(per_bucket[BUCKETS])
     model, gain = None, np.zeros(CLASSES)
     if total:
-        blocks = _added(gathered.where("block IS NOT NULL"), "int64", 64)
-        around = np.zeros((64, BUCKETS // 64 * NEIGHBOURS), np.int64)
-        for i, x in blocks.items():
-            around[i] = x
-        class_of = np.append(cluster(around.reshape(BUCKETS, NEIGHBOURS), CLASSES - 1), CLASSES - 1)
-        n_c, v_c = np.zeros(CLASSES), np.zeros(CLASSES)
-        for r in by_bucket:
-            n_c[class_of[r["bucket"]]] += r["n"]
-            v_c[class_of[r["bucket"]]] += r["v"]
-        gain = np.log10(total + types + 1) - np.log10(n_c + v_c + 1)
+        class_of = np.append(cluster(around[:BUCKETS, :NEIGHBOURS], CLASSES - 1), CLASSES - 1)
+        n_c, v_c = np.bincount(class_of, per_bucket, CLASSES), np.bincount(class_of, types, CLASSES)
+        gain = np.log10(total + types.sum() + 1) - np.log10(n_c + v_c + 1)
         model = Model(class_of, np.zeros((FEATURES, CLASSES), np.float32), np.log((n_c + 1) / (total + CLASSES)).astype(np.float32))
         for i in range(ROUNDS):
-            rows = _added(train.where(F.col("_round") == i).select("_text").mapInArrow(_trained(model), "block int, table binary"), "float64", 16)
+            rows = _added(train.where(F.col("_round") == i).select("_text").mapInArrow(_trained(model), "block int, table binary"), "float64")
             if rows:
-                model = Model(class_of, np.concatenate([rows[j][:-1] / rows[j][-1] for j in range(16)]).reshape(FEATURES, CLASSES).astype(np.float32), model.bias)
-    drop_stored(gathered)
-    ends = sum(r["n"] for r in by_bucket if r["bucket"] == BUCKETS)
-    kind = dict(docs.dtypes)[key]
-    docs = stored(docs.mapInArrow(_numbered, f"{key} {kind}, _text string, _held boolean, chunk long, place long"), "chunks")
-    size = docs.agg(F.sum(F.octet_length("_text") + 1)).first()[0] or 0
-    bits = max(4, (size // CHUNK).bit_length() - 1)
-    wide = min(64, size.bit_length() + 16)
-    del gathered, counts, train
-    _forget(df)
-    shards = docs.mapInArrow(_sent(bits, wide), "shard int, chunk long, place long, size int, keys binary, n binary").repartition(2 << bits, "shard").sortWithinPartitions("shard")
-    answers = stored(shards.mapInArrow(_answered, "shard int, chunk long, place long, size int, n binary"), "answers")
-    del shards
+                model = Model(class_of, np.concatenate([rows[j][:-1] / rows[j][-1] for j in range(BLOCKS)]).reshape(FEATURES, CLASSES).astype(np.float32), model.bias)
     _forget(df)
-    rows = docs.unionByName(answers, allowMissingColumns=True)
-    schema = f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.repartition(1 << bits, "chunk").sortWithinPartitions("chunk").mapInArrow(_scored(key, model, total, types, ends, gain, bits, wide), schema)
+    rows = docs.unionByName(answers.where("shard IS NOT NULL"), allowMissingColumns=True)
+    schema = f"_key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scored = rows.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_scored("_key", model, total, int(types.sum()), ends, gain, bits, wide), schema)
+    return scored.withColumnRenamed("_key", key)

@@ -419,15 +419,32 @@ def test_counted_grams_add_up(rows):
     t = maxent.tokens(texts)
     keys = maxent.grams(t)
     u, n = np.unique(keys, return_counts=True)
-    found = np.stack([n[np.searchsorted(u, x)] for x in keys])
-    p = np.full(len(t.hash), 1 / len(np.unique(t.hash)))
-    want = np.bincount(t.doc, np.log10(maxent.mixed(t, found, len(texts), p)))
-    words = np.unique(t.hash)
-    for w1, w2 in ((t.hash[7], t.hash[6]), (t.hash[1], t.hash[0])):
-        one = [maxent.Tokens(np.array([w2, w1, w], np.uint64), np.zeros(3, np.int32), np.arange(3), np.zeros(3, int)) for w in words]
-        q = sum(maxent.mixed(x, np.stack([np.where(u[np.minimum(np.searchsorted(u, k), len(u) - 1)] == k, n[np.minimum(np.searchsorted(u, k), len(u) - 1)], 0) for k in maxent.grams(x)]), len(texts), p[:3])[2] for x in one)
-        assert q == pytest.approx(1)
-    assert np.isfinite(want).all()
+    seen, times = np.unique(t.hash, return_counts=True)
+    p = np.full(len(t.hash), 1 / len(seen))
+    got = maxent.mixed(t, times[np.searchsorted(seen, t.hash)], np.stack([n[np.searchsorted(u, x)] for x in keys]), len(texts), p)
+    # The same from counted words.
+    word = [[x.lower() if x.isascii() else x.translate({c: c + 32 for c in range(65, 91)}) for x in WORD.findall(t.decode())] + [None] for t in texts]
+    one, two, skip, three = (Counter() for _ in range(4))
+    for w in word:
+        x = ["<2", "<1", *w]
+        one.update(x)
+        two.update(zip(x[1:], w))
+        skip.update(zip(x, w))
+        three.update(zip(x, x[1:], w))
+    want = []
+    for w in word:
+        x = ["<2", "<1", *w]
+        for i, y in enumerate(w):
+            far = len(word) if i < 2 else one[x[i]]
+            q = ((two[x[i + 1], y] + 30 * p[0]) / (one[x[i + 1]] + 30) + (skip[x[i], y] + 30 * p[0]) / (far + 30)) / 2
+            want.append((three[x[i], x[i + 1], y] + 8 * q) / ((len(word) if not i else two[x[i], x[i + 1]]) + 8))
+    assert got == pytest.approx(np.array(want), rel=1e-9)
+    assert maxent.NARROW == (30.0, 8.0)
+    for w2, w1 in ((t.hash[6], t.hash[7]), (t.hash[0], t.hash[1])):
+        each = [maxent.Tokens(np.array([w2, w1, w], np.uint64), np.zeros(3, np.int32), np.arange(3), np.zeros(3, int)) for w in seen]
+        counted = lambda k, u, n: np.where(u[np.minimum(np.searchsorted(u, k), len(u) - 1)] == k, n[np.minimum(np.searchsorted(u, k), len(u) - 1)], 0)
+        q = sum(maxent.mixed(x, counted(x.hash, seen, times), np.stack([counted(k, u, n) for k in maxent.grams(x)]), len(texts), p[:3])[2] for x in each)
+        assert 0.9 < q <= 1 + 1e-9
 
 
 # --- Quality -------------------------------------------------------------------------------------
