@@ -3,7 +3,7 @@
 The probability of a token mixes, from the widest context to the narrowest, the counts of word triples, of word pairs and
 of word pairs that skip a place with the probability of the narrower contexts (Dirichlet smoothing, so that the
 probabilities after any context add up, to 1 at most). In log-linear terms a gram seen c times has the weight log(1 + c / (a p)) over
-the narrower p, and its context the normaliser 1 + n / a: sparse features of words, in closed form. These grams are counted over all training texts by hash, in a space of 512
+the narrower p, and its context the normaliser 1 + n / a: sparse features of words, in closed form. These grams are counted over all training texts by hash, in a space of 64
 places per byte of text: none is dropped, and space and counts grow with the corpus. Below them stands the probability of the
 token's class times that of the token within its class.
 The class comes from a softmax of fixed size over weights of hashed features: the buckets of the two words before, pairs
@@ -50,9 +50,9 @@ STEP = 0.25
 #: Tokens of a training batch, and bytes of text that are taken through the arrays at once.
 BATCH, BYTES = 16_384, 1 << 19
 #: Bytes of text of a chunk, and of text whose keys a shard holds on average.
-CHUNK = 1 << 21
+CHUNK = 1 << 22
 #: Bits of a gram's key beyond those that number the bytes of all texts: 2**PLACES places a byte.
-PLACES = 9
+PLACES = 6
 #: Weight of the narrower context, in tokens, for pairs and for triples.
 NARROW = (30.0, 8.0)
 #: Bits of a word's key that hold its bucket.
@@ -192,11 +192,16 @@ def features(t: Tokens, classes: np.ndarray) -> np.ndarray:
         return np.stack([(mix64(s.astype(_U) + _U((i + 1) << 40)) % _U(FEATURES)).astype(np.int64) for i, s in enumerate(slots)], 1)
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def logits(weights: np.ndarray, bias: np.ndarray, ids: np.ndarray) -> np.ndarray:
     z = bias + weights[ids[:, 0]]
     for j in range(1, SLOTS):
         z += weights[ids[:, j]]
     z -= z.max(1, keepdims=True)
+    return z
+
+
+def log_softmax(weights: np.ndarray, bias: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    z = logits(weights, bias, ids)
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
@@ -218,7 +223,8 @@ def _trained(model: Model):
             ids = features(t, classes)
             for s in range(0, len(classes), BATCH):
                 i, y = ids[s : s + BATCH], classes[s : s + BATCH]
-                g = np.exp(log_softmax(w, model.bias, i))
+                g = np.exp(logits(w, model.bias, i))
+                g /= g.sum(1, keepdims=True)
                 g[np.arange(len(y)), y] -= 1
                 for j in range(SLOTS):
                     short = i[:, j].astype(np.uint16)  # sorted by digits
@@ -317,6 +323,16 @@ def _runs(batches: Iterator[pa.RecordBatch], column: str):
         yield at, held
 
 
+def _sorted(keys: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of ``wide`` bits in order, with their places: one sort of plain numbers where both fit into 64 bits."""
+    bits = max(1, len(keys) - 1).bit_length()
+    if wide + bits > 64:
+        order = np.argsort(keys)
+        return keys[order], order
+    both = np.sort((keys << _U(bits)) | np.arange(len(keys), dtype=_U))
+    return both >> _U(bits), (both & _U((1 << bits) - 1)).astype(np.int64)
+
+
 def _own(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of some texts and their counts among the tokens that train."""
     all_keys = np.sort(keys, axis=None)
@@ -379,7 +395,7 @@ def _sent(bits: int, wide: int):
     return task(run)
 
 
-def _answered(bits: int):
+def _answered(bits: int, wide: int):
     """Task: the counts over all chunks of the keys of each shard and chunk, in the order of its keys.
 
     At its end, the different words of each bucket with a count, as a row without a shard.
@@ -393,8 +409,7 @@ def _answered(bits: int):
             at = np.concatenate([np.cumsum(_numbers(r[3], r[2]), dtype=np.uint64) for r in rows])
             n = np.concatenate([_numbers(r[4], r[2]) for r in rows])
             rows = [r[:3] for r in rows]
-            order = np.argsort(at)
-            at = at[order]
+            at, order = _sorted(at, 64 if shard >> bits == 0 else wide)
             cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             sums = np.add.reduceat(n[order], cut)
             if shard >> bits == 0:
@@ -412,10 +427,9 @@ def _answered(bits: int):
     return task(run)
 
 
-def _found(keys: np.ndarray, sums: np.ndarray) -> np.ndarray:
+def _found(keys: np.ndarray, sums: np.ndarray, wide: int) -> np.ndarray:
     """The counts of all keys from those of the distinct ones."""
-    order = np.argsort(keys, axis=None)
-    x = keys.ravel()[order]
+    x, order = _sorted(keys.ravel(), wide)
     cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     if len(cut) != len(sums):
         raise RuntimeError("the keys of a chunk have changed since they were counted")
@@ -445,7 +459,7 @@ def _scored(key: str, model: Model | None, n: int, v: int, ends: int, gain: np.n
             texts, trains = _texts(parts)
             t = tokens(texts)
             none = np.zeros(0, np.uint64)
-            word, found = (_found(k, np.concatenate([none, *(_numbers(x, m) for shard, m, x in sums if shard >> bits == kind)])) for kind, k in enumerate((words(t)[None], grams(t, wide))))
+            word, found = (_found(k, np.concatenate([none, *(_numbers(x, m) for shard, m, x in sums if shard >> bits == kind)]), (64, wide)[kind]) for kind, k in enumerate((words(t)[None], grams(t, wide))))
             word = word[0]
             del sums
             base = np.log10(word + 1.0) - floor
@@ -456,7 +470,8 @@ def _scored(key: str, model: Model | None, n: int, v: int, ends: int, gain: np.n
                 ids = features(t, classes)
                 for s in range(0, len(classes), BATCH):
                     y = classes[s : s + BATCH]
-                    extra[s : s + BATCH] = log_softmax(model.weights, model.bias, ids[s : s + BATCH])[np.arange(len(y)), y]
+                    z = logits(model.weights, model.bias, ids[s : s + BATCH])
+                    extra[s : s + BATCH] = z[np.arange(len(y)), y] - np.log(np.exp(z).sum(1))
                 p = 10 ** (base + extra / np.log(10) + gain[classes])
                 score = np.minimum(np.log10(mixed(t, word, found, ends, p)), 0)
             k = len(texts)
@@ -490,7 +505,7 @@ def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "tex
     bits = max(4, (size // CHUNK).bit_length() - 1)
     wide = min(64, size.bit_length() + PLACES)
     shards = docs.mapInArrow(_sent(bits, wide), "shard int, chunk long, place long, size int, keys binary, n binary").repartition(parts, "shard").sortWithinPartitions("shard")
-    answers = stored(shards.mapInArrow(_answered(bits), "shard int, chunk long, place long, size int, n binary"), "answers")
+    answers = stored(shards.mapInArrow(_answered(bits, wide), "shard int, chunk long, place long, size int, n binary"), "answers")
     del shards
     _forget(df)
     types = _added(answers.where("shard IS NULL").select(F.lit(0).alias("block"), F.col("n").alias("table")), "int64").get(0, np.zeros(BUCKETS + 1, np.int64))
