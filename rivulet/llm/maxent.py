@@ -92,19 +92,22 @@ def tokens(texts: list[bytes]) -> Tokens:
     return Tokens(hashes, buckets, np.arange(len(word)) - np.repeat(end + 1 - size, size), np.repeat(np.arange(len(texts)), size))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text: str):
-    """(batch, first row, texts) with about BYTES of text each, a longer text alone."""
-    for b in batches:
-        held, size, first = [], 0, 0
-        for i, t in enumerate(b.column(text)):
-            x = utf8(t.as_py())
-            if held and size + len(x) > BYTES:
-                yield b, first, held
-                held, size, first = [], 0, i
-            held.append(x)
-            size += len(x)
-        if held:
-            yield b, first, held
+def _groups(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """Texts together, about BYTES at once, a longer text alone: arrays that stay small."""
+    held, size = [], 0
+    for x in texts:
+        if held and size + len(x) > BYTES:
+            yield held
+            held, size = [], 0
+        held.append(x)
+        size += len(x)
+    if held:
+        yield held
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
+    for texts in _groups(utf8(t.as_py()) for b in batches for t in b.column("_text")):
+        yield tokens(texts)
 
 
 #: Blocks in which the neighbour table goes to be added up.
@@ -116,8 +119,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task: for each bucket its neighbours and, in a column of their own, its tokens, in blocks (block, table)."""
     wide = NEIGHBOURS + 1
     around = np.zeros((BUCKETS + BLOCKS) * wide, np.int64)
-    for _, _, texts in _chunks(batches, "_text"):
-        t = tokens(texts)
+    for t in _read(batches):
         near = (t.hash % _U(NEIGHBOURS)).astype(np.int64)
         at = t.bucket.astype(np.int64) * wide
         cells = [at + NEIGHBOURS]
@@ -217,8 +219,7 @@ def _trained(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, scale, seen = model.weights.copy(), np.full(FEATURES, 1e-2, np.float32), 0
-        for _, _, texts in _chunks(batches, "_text"):
-            t = tokens(texts)
+        for t in _read(batches):
             classes = model.class_of[t.bucket]
             ids = features(t, classes)
             for s in range(0, len(classes), BATCH):
@@ -344,9 +345,8 @@ def _own(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, n
 
 
-def _texts(parts: list[pa.RecordBatch]) -> tuple[list[bytes], np.ndarray]:
-    texts = [utf8(t.as_py()) for b in parts for t in b.column("_text")]
-    return texts, np.array([h is False for b in parts for h in b.column("_held").to_pylist()], bool)
+def _trains(parts: list[pa.RecordBatch]) -> np.ndarray:
+    return np.array([h is False for b in parts for h in b.column("_held").to_pylist()], bool)
 
 
 def _cut(u: np.ndarray, bits: int, wide: int) -> list[slice]:
@@ -376,11 +376,11 @@ def _sent(bits: int, wide: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, held in _runs(batches, "chunk"):
             for parts in _pieces(held):
-                texts, trains = _texts(parts)
-                t = tokens(texts)
-                rows = []
-                for kind, k in enumerate((words(t)[None], grams(t, wide))):
-                    u, n = _own(k, trains[t.doc])
+                trains, rows = _trains(parts), []
+                each = [(words(t)[None], grams(t, wide), np.bincount(t.doc)) for t in _read(parts)]
+                of = np.repeat(trains, np.concatenate([size for *_, size in each]))
+                for kind in (0, 1):
+                    u, n = _own(np.concatenate([x[kind] for x in each], 1), of)
                     for i, c in enumerate(_cut(u, bits, (64, wide)[kind])):
                         if c.stop > c.start:
                             rows.append((i + (kind << bits), c.stop - c.start, _packed(np.diff(u[c], prepend=_U(0))), _packed(n[c])))
@@ -390,7 +390,7 @@ def _sent(bits: int, wide: int):
                     [pa.array(shard, pa.int32()), pa.array([int(chunk)] * k, pa.int64()), pa.array([first] * k, pa.int64()), pa.array(size, pa.int32()), pa.array(ks, pa.binary()), pa.array(ns, pa.binary())],
                     ["shard", "chunk", "place", "size", "keys", "n"],
                 )
-                del texts, t, u, n, rows, ks, ns
+                del each, of, u, n, rows, ks, ns
 
     return task(run)
 
@@ -453,35 +453,42 @@ def _scored(key: str, model: Model | None, n: int, v: int, ends: int, gain: np.n
             for f, s, e in zip(firsts, edge, edge[1:]):
                 yield docs.slice(s, e - s).to_batches(), sorted(sums[f], key=lambda r: r[0])
 
+    floor = np.log10(n + v + 1)
+
+    def one(t: Tokens, word: np.ndarray, found: np.ndarray) -> tuple:
+        """Tokens, known tokens, base and score of each text."""
+        base = np.log10(word + 1.0) - floor
+        score = base
+        if model is not None:
+            classes = model.class_of[t.bucket]
+            extra = np.zeros(len(classes))
+            ids = features(t, classes)
+            for s in range(0, len(classes), BATCH):
+                y = classes[s : s + BATCH]
+                z = logits(model.weights, model.bias, ids[s : s + BATCH])
+                extra[s : s + BATCH] = z[np.arange(len(y)), y] - np.log(np.exp(z).sum(1))
+            p = 10 ** (base + extra / np.log(10) + gain[classes])
+            score = np.minimum(np.log10(mixed(t, word, found, ends, p)), 0)
+        return np.bincount(t.doc), np.bincount(t.doc, word > 0).astype(np.int64), np.bincount(t.doc, base), np.bincount(t.doc, score)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor = np.log10(n + v + 1)
         for parts, sums in pieces(batches):
-            texts, trains = _texts(parts)
-            t = tokens(texts)
-            none = np.zeros(0, np.uint64)
-            word, found = (_found(k, np.concatenate([none, *(_numbers(x, m) for shard, m, x in sums if shard >> bits == kind)]), (64, wide)[kind]) for kind, k in enumerate((words(t)[None], grams(t, wide))))
-            word = word[0]
-            del sums
-            base = np.log10(word + 1.0) - floor
-            score = base
-            if model is not None:
-                classes = model.class_of[t.bucket]
-                extra = np.zeros(len(classes))
-                ids = features(t, classes)
-                for s in range(0, len(classes), BATCH):
-                    y = classes[s : s + BATCH]
-                    z = logits(model.weights, model.bias, ids[s : s + BATCH])
-                    extra[s : s + BATCH] = z[np.arange(len(y)), y] - np.log(np.exp(z).sum(1))
-                p = 10 ** (base + extra / np.log(10) + gain[classes])
-                score = np.minimum(np.log10(mixed(t, word, found, ends, p)), 0)
-            k = len(texts)
-            size, known = np.bincount(t.doc, minlength=k), np.bincount(t.doc, word > 0, k).astype(np.int64)
+            none, each = np.zeros(0, np.uint64), list(_read(parts))
+            keys = (np.concatenate([words(t) for t in each])[None], np.concatenate([grams(t, wide) for t in each], 1))
+            word, found = (_found(k, np.concatenate([none, *(_numbers(x, m) for shard, m, x in sums if shard >> bits == kind)]), (64, wide)[kind]) for kind, k in enumerate(keys))
+            del sums, keys
+            made, at = [], 0
+            for t in each:
+                own = slice(at, at + len(t.hash))
+                at = own.stop
+                made.append(one(t, word[0, own], found[:, own]))
+            size, known, base, score = (np.concatenate(x) for x in zip(*made))
             columns = [pa.concat_arrays([b.column(c) for b in parts]) for c in (key, "_held")]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(size), pa.array(known), pa.array(np.full(k, n)), pa.array(np.bincount(t.doc, base, k)), pa.array(np.bincount(t.doc, score, k))],
+                [*columns, pa.array(size), pa.array(known), pa.array(np.full(len(size), n)), pa.array(base), pa.array(score)],
                 [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
-            del parts, texts, t, word, found
+            del parts, each, t, word, found
 
     return task(run)
 
