@@ -6,8 +6,8 @@ of its halves to the codewords (the multi-sequence order) until the number of vi
 Vectors met in a visited cell are verified by their cosine in double precision.
 
 Codebooks and the number of visits are fitted on a bounded sample (``SAMPLE`` vectors with the smallest hash of their id): the
-visits are those that reach ``RECALL`` of the sample's own pairs, or, where it has too few, of pairs made at the
-threshold by adding noise. All vectors are indexed and all are queries.
+visits are as many as reach ``RECALL`` of the sample's own pairs, or, where it has too few, of pairs made at the
+threshold by adding noise, up to all cells. All vectors are indexed and all are queries.
 
 Equal vectors count as one with a multiplicity. A cell's members are cut into blocks and its visitors into chunks, so a
 full cell is many small tasks; these return counts and one link per vector and task, never all pairs.
@@ -25,17 +25,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rivulet.functions.session import stored
-from rivulet.llm.common import task
+from rivulet.llm.common import join_spread, task
 from rivulet.llm.components import components
 
 SAMPLE = 20_000
 RECALL = 0.995
-#: Members of a cell on average, from which the size of the codebooks follows, up to MOST_WORDS each.
-PER_CELL, MOST_WORDS = 32, 1024
+#: Members of a cell on average, from which the size of the codebooks follows, up to MOST_WORDS each: a sample can't tell more apart.
+PER_CELL, MOST_WORDS = 32, SAMPLE // 5
 BLOCK, CHUNK = 1024, 2048
-LEAST_VISITS, MOST_VISITS = 4, 512
+LEAST_VISITS = 4
+#: Numbers that a task ranks at once.
+RANKED = 2_000_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -90,9 +93,13 @@ class Grid:
 
 
 def _rank(grid: Grid, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """At which visit each vector comes to the given cell."""
-    seen = grid.order(x, MOST_VISITS) == cell[:, None]
-    return np.where(seen.any(1), seen.argmax(1), MOST_VISITS)
+    """How many cells each vector visits before the given one."""
+    one, two = grid.halves(x)
+    a, b = np.divmod(cell, one.shape[1])
+    rows = np.arange(len(x))
+    far = one[rows, a] + two[rows, b]
+    two.sort(1)
+    return np.array([int(np.searchsorted(two[r], far[r] - one[r]).sum()) for r in rows])
 
 
 def fit(sample: np.ndarray, n: int, least: float, seed: int = 7) -> Grid:
@@ -127,7 +134,7 @@ def fit(sample: np.ndarray, n: int, least: float, seed: int = 7) -> Grid:
             pick = np.random.default_rng(seed).choice(len(x), 8000, replace=False)
             x, y = x[pick], y[pick]
         ranks = np.concatenate([np.minimum(_rank(grid, x[s : s + 500], grid.order(y[s : s + 500], 1)[:, 0]), _rank(grid, y[s : s + 500], grid.order(x[s : s + 500], 1)[:, 0])) for s in range(0, len(x), 500)])
-        grid.visits = int(min(MOST_VISITS, max(LEAST_VISITS, np.quantile(ranks, RECALL, method="higher") + 2)))
+        grid.visits = int(min(k * k, max(LEAST_VISITS, np.quantile(ranks, RECALL, method="higher") + 2)))
     return grid
 
 
@@ -150,9 +157,11 @@ def _placed(grid: Grid):
     """Task: each vector with its cell and the cells it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of codewords i and j those with (i + 1)(j + 1) <= visits are ranked.
+        step = max(1, int(RANKED / (grid.visits * (1 + np.log(grid.visits)))))
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, min(step, 500)):
+                part = b.slice(at, min(step, 500))
                 cells = grid.order(_unit(_matrix(part.column("vector"), grid.size)), grid.visits)
                 visits = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1) * cells.shape[1], pa.int32()), pa.array(cells.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), part.column("vector"), pa.array(cells[:, 0]), visits], ["rep", "copies", "vector", "home", "visits"])
@@ -227,12 +236,14 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     """One row per vector: key, n_links, component_id and kept (key = component_id)."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector")).withColumn("fine", _valid("vector"))
+    given = df.schema[vector].dataType
+    number = "float" if isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType) else "double"
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{number}>").alias("vector")).withColumn("fine", _valid("vector"))
     # Equal vectors count as one; rows get a number of their own, so ids may be null or repeated.
     rows = rows.withColumn("mark", F.when(F.col("fine"), F.sha2(F.concat_ws(",", F.transform("vector", lambda e: F.when(e == 0, 0.0).otherwise(e.cast("double")).cast("string"))), 256)))
     known = rows.where("fine").groupBy("mark").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.first("vector").alias("vector"))
     reps = stored(known.withColumn("rep", F.xxhash64("mark")), "vectors")  # 64 bits of a digest
-    facts = reps.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("size")).first()
+    facts = reps.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("size"), F.sum("copies").alias("rows")).first()
     same = rows.select("id", "mark")
     if not facts["n"]:
         return same.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -241,23 +252,30 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     for i, v in enumerate(sample):
         x[i, : len(v)] = v
     grid = fit(_unit(x), facts["n"], least)
-    placed = stored(reps.select("rep", "copies", "vector").mapInArrow(task(_placed(grid)), "rep long, copies long, vector array<float>, home int, visits array<int>"), "placed")
+    placed = stored(reps.select("rep", "copies", "vector").mapInArrow(task(_placed(grid)), f"rep long, copies long, vector array<{number}>, home int, visits array<int>"), "placed")
     calls = placed.select("rep", "copies", "vector", "home", F.explode("visits").alias("cell"))
-    # Two small tables, a row per cell at most: how many members and visitors it has.
-    load = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    load = load.join(calls.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("nc")), "cell")
+    # A row per cell: how many members and visitors it has.
+    load = placed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("members"))
+    load = load.join(calls.groupBy("cell").agg(F.count("*").alias("visitors")), "cell")
+    load = load.select("cell", "members", "visitors", F.ceil(F.col("members") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("visitors") / CHUNK).cast("int").alias("nc"))
+    load = stored(load, "load", min(facts["n"], len(grid.books[0]) ** 2))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["cell", "block", "chunk", "visitor", "rep", "copies", "vector", "home", "visits"]
-    members = placed.withColumn("cell", F.col("home")).join(load, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).withColumn("chunk", spread("nc"))
-    visitors = calls.join(load, "cell").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("nc")).cast("int")).withColumn("block", spread("nb"))
+    members = join_spread(placed.withColumn("cell", F.col("home")), load.select("cell", "nb", "nc", F.col("members").alias("_rows")), "cell", facts["n"])
+    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).withColumn("chunk", spread("nc"))
+    visitors = join_spread(calls, load.select("cell", "nb", "nc", F.col("visitors").alias("_rows")), "cell", facts["n"] * grid.visits)
+    visitors = visitors.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("nc")).cast("int")).withColumn("block", spread("nb"))
     both = members.withColumn("visitor", F.lit(False)).select(columns).unionByName(visitors.withColumn("visitor", F.lit(True)).withColumn("visits", F.lit(None).cast("array<int>")).select(columns))
     dealt = both.repartition(parts, "cell", "block", "chunk").sortWithinPartitions("cell", "block", "chunk")
     found = stored(dealt.mapInArrow(task(_met(grid.size, least)), "rep long, n long, other long"), "met")
     counts = found.groupBy("rep").agg(F.sum("n").alias("links"))
     joined = components(found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     named = reps.select("mark", "rep", "copies", "first").join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    least_id = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = named.join(least_id, "comp").select("mark", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = same.join(named, "mark", "left")
-    component = F.when(F.col("mark").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    named = named.select("mark", "copies", "first", "links", "comp")
+    least_id = named.groupBy("comp").agg(F.min("first").alias("component_id"), F.count("*").alias("_rows"))
+    named = join_spread(named, least_id, "comp", facts["n"])
+    named = named.select("mark", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", F.col("copies").alias("_rows"))
+    linked = join_spread(same.where(F.col("mark").isNotNull()), named, "mark", facts["rows"]).select("id", "n_links", "component_id")
+    alone = same.where(F.col("mark").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.unionByName(alone)
+    return out.select(F.col("id").alias(key), F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -366,13 +366,35 @@ def test_embeddings_brute_force(spark):
     for i in range(n):
         wrong += got[i]["n_links"] != hit[i].sum()
         assert got[i]["kept"] == (got[i]["component_id"] == i) and got[i]["n_links"] <= hit[i].sum()
-    assert wrong <= 0.05 * n
+    found = sum(got[i]["n_links"] for i in range(n))
+    assert found >= 0.99 * hit[:n].sum() > 0 and wrong <= 0.05 * n
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(n, n + 7))
     assert got[None]["component_id"] == comp[1] and not got[None]["kept"]
+    double = df.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert Counter(tuple(r) for r in embeddings.near_duplicates(double).collect()) == Counter(tuple(r) for r in embeddings.near_duplicates(df).collect())
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_duplicates(empty).count() == 0
 
 
+def test_embeddings_recall_on_many_clusters(spark):
+    """Clusters of graded closeness: 0.99 of all links are found, and none is made up."""
+    r = np.random.default_rng(5)
+    base = r.normal(size=(400, 32))
+    x = np.concatenate([base] + [base + r.normal(size=base.shape) * s for s in (0.1, 0.2, 0.25, 0.3)])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+    v = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = (v @ v.T >= 0.95).sum(1) - 1
+    assert hit.sum() > 1000 and sum(got.values()) >= 0.99 * hit.sum() and all(got[i] <= hit[i] for i in range(len(x)))
+
+
+def test_visits_grow_until_the_recall_is_reached():
+    r = np.random.default_rng(6)
+    x = r.normal(size=(3000, 8))
+    grid = embeddings.fit(embeddings._unit(x), 3_000_000, 0.5)
+    assert grid.visits > 512 and embeddings._rank(grid, x[:50], grid.order(x[:50], 7)[:, 6]).min() >= 6 and embeddings._rank(grid, x[:50], grid.order(x[:50], 7)[:, 6]).max() <= 7
+
+
 # --- Language model ------------------------------------------------------------------------------
 
 
