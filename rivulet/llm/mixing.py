@@ -9,9 +9,13 @@ reruns agree.
 The cut is found without sorting a source: sums of words per slice of the order (``SLICES`` a source) name the
 slice in which the cut falls, and only that slice's documents are ordered.
 
-Defined results: null texts have size 0; null sources form one source, last in order; null ids draw one number of
+One row per source meets the documents: by broadcast while there are at most ``SHARE`` sources, beyond that with the
+rows of hot sources left in place.
+
+Defined results: null texts and sizes count 0; null sources form one source, last in order; null ids draw one number of
 their own; equal ids draw equal numbers and are then ordered by size, and rows equal in all that are taken or left
-together; further columns pass through, equal names are replaced; an empty table gives an empty one.
+together; further columns pass through whatever their names, ``source_size``, ``target`` and ``copies`` are replaced; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,6 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.functions.session import stored
+from rivulet.llm.common import SHARE as FEW_SOURCES
+from rivulet.llm.common import join_spread, set_apart
+
 # Fixed values of the production mix.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -38,7 +46,7 @@ def draw(key: Column, seed: int) -> Column:
 
 
 def targets(sizes: DataFrame, source: str, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """From (source, source_size), one row each, the target of each source.
+    """Appends the target of each source to a table of one row per source with its source_size.
 
     Targets stop at ``most`` times the source's size and the excess is shared again by weight. Sources ordered by
     size over weight reach their stop in that order, so the final level is the first one at which the next source
@@ -53,7 +61,7 @@ def targets(sizes: DataFrame, source: str, weights: tuple[float, ...] = WEIGHTS,
     levels = capped.withColumn("_level", level).withColumn("_n", F.row_number().over(order))
     final = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.struct("_n", "_level"))).over(all_rows)
     first = levels.withColumn("_final", final["_level"])
-    return first.select(source, "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_final"), F.lit(float("inf"))) * F.col("_w")).alias("target"))
+    return first.select(*sizes.columns, F.least(F.col("_cap"), F.coalesce(F.col("_final"), F.lit(float("inf"))) * F.col("_w")).alias("target"))
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", seed: int = 1, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -61,34 +69,41 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str =
 
     What is found first is one row per source: its target and the last place taken. A last pass applies it.
     """
-    own = [c for c in df.columns if c not in ("source_size", "target", "copies")]
-    slim = df.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col(size).alias("_n"))
-    sums = slim.groupBy("_s").agg(F.sum("_n").alias("source_size"))
+    plain, name, back = set_apart(df, "source_size", "target", "copies")
+    source_name = F.when(F.col(name[source]).isNull(), "null").otherwise(F.concat(F.lit("="), F.col(name[source]).cast("string")))
+    rows = plain.withColumns({"k": F.col(name[key]), "s": source_name, "n": F.coalesce(F.col(name[size]).cast("long"), F.lit(0))})
+    slim = rows.select("k", "s", "n")
+    sums = slim.groupBy("s").agg(F.sum("n").alias("source_size"), F.count("*").alias("_rows"))
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    goal = targets(sums, "_s", weights, share, most).withColumn("_sure", F.floor(factor)).withColumn("_p", factor - F.col("_sure"))
-    goal = goal.withColumn("_left", F.col("target") - F.col("_sure") * F.col("source_size")).withColumnRenamed("_s", "_source")
-    ranked = _ranked(slim.join(goal, F.col("_s").eqNullSafe(F.col("_source"))), seed).where("_q IS NOT NULL")
-    slices = ranked.groupBy("_source", "_slice").agg(F.sum("_n").alias("_words"), F.max("_left").alias("_goal"))
-    upto = Window.partitionBy("_source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("_before", F.coalesce(F.sum("_words").over(upto), F.lit(0)))
-    cut = slices.where((F.col("_before") < F.col("_goal")) & (F.col("_before") + F.col("_words") >= F.col("_goal"))).select(F.col("_source").alias("_cs"), F.col("_slice").alias("_cut"), "_before")
+    goal = targets(sums, "s", weights, share, most).withColumn("sure", F.floor(factor)).withColumn("p", factor - F.col("sure"))
+    goal = stored(goal.withColumn("rest", F.col("target") - F.col("sure") * F.col("source_size")), "targets")
+    sources, total = goal.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+
+    def to_source(df: DataFrame, each: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(each.drop("_rows")), "s") if sources <= FEW_SOURCES else join_spread(df, each, "s", total)
+
+    ranked = _ranked(to_source(slim, goal), seed).where("q IS NOT NULL")
+    slices = ranked.groupBy("s", "slice").agg(F.sum("n").alias("words"), F.max("rest").alias("goal"))
+    upto = Window.partitionBy("s").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+    cut = stored(slices.where("before < goal AND before + words >= goal").select("s", "slice", "before"), "cuts", sources)
     # The documents of the slice that holds the cut: one in SLICES of a source.
-    near = ranked.join(cut, F.col("_source").eqNullSafe(F.col("_cs")) & (F.col("_slice") == F.col("_cut")))
-    within = Window.partitionBy("_source").orderBy("_q", "_k", "_n").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_before") + F.coalesce(F.sum("_n").over(within), F.lit(0))
-    near = near.withColumn("_start", start).where(F.col("_start") + F.col("_n") / 2 <= F.col("_left"))
-    last = near.groupBy("_cs").agg(F.max(F.struct("_q", "_k", "_n")).alias("_last")).withColumnRenamed("_cs", "_ls")
-    ends = goal.join(cut.drop("_before"), F.col("_source").eqNullSafe(F.col("_cs")), "left").join(last, F.col("_source").eqNullSafe(F.col("_ls")), "left")
-    out = df.select(*own).withColumns({"_k": F.col(key), "_s": F.col(source), "_n": F.col(size)})
-    out = _ranked(out.join(ends, F.col("_s").eqNullSafe(F.col("_source"))), seed)
+    near = ranked.join(F.broadcast(cut) if sources <= FEW_SOURCES else cut, ["s", "slice"])
+    within = Window.partitionBy("s").orderBy("q", "k", "n").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    near = near.withColumn("start", start).where("start + n / 2 <= rest")
+    last = near.groupBy("s").agg(F.max(F.struct("q", "k", "n")).alias("last"))
+    ends = goal.join(cut.select("s", F.col("slice").alias("cut")), "s", "left").join(last, "s", "left")
+    out = _ranked(to_source(rows, ends), seed)
     # Without a cut the goal lies beyond the last slice, by rounding, or nothing is left to sample.
-    taken = F.when(F.col("_q").isNull() | (F.col("_left") <= 0), F.lit(False)).when(F.col("_cut").isNull(), F.lit(True))
-    taken = taken.otherwise((F.col("_slice") < F.col("_cut")) | (F.col("_slice") == F.col("_cut")) & F.coalesce(F.struct("_q", "_k", "_n") <= F.col("_last"), F.lit(False)))
-    return out.withColumn("copies", (F.col("_sure") + taken.cast("long")).cast("long")).select(*own, "source_size", "target", "copies")
+    taken = F.when(F.col("q").isNull() | (F.col("rest") <= 0), F.lit(False)).when(F.col("cut").isNull(), F.lit(True))
+    taken = taken.otherwise((F.col("slice") < F.col("cut")) | (F.col("slice") == F.col("cut")) & F.coalesce(F.struct("q", "k", "n") <= F.col("last"), F.lit(False)))
+    out = out.withColumn("copies", (F.col("sure") + taken.cast("long")).cast("long"))
+    return out.select(*(F.col(c).alias(n) for c, n in back), "source_size", "target", "copies")
 
 
 def _ranked(df: DataFrame, seed: int) -> DataFrame:
-    """Appends the ranking number _q (null where nothing is sampled) and its slice; slices follow the order."""
-    df = df.withColumn("_u", draw(F.col("_k"), seed))
-    df = df.withColumn("_q", F.when(F.col("_p") > 0, (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))))
-    return df.withColumn("_slice", F.floor(F.col("_q") / (1 + F.col("_q")) * SLICES))
+    """Appends the ranking number q (null where nothing is sampled) and its slice; slices follow the order."""
+    df = df.withColumn("u", draw(F.col("k"), seed))
+    df = df.withColumn("q", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
+    return df.withColumn("slice", F.floor(F.col("q") / (1 + F.col("q")) * SLICES))

@@ -335,7 +335,10 @@ def test_mixing(spark, docs, none):
         assert abs(sum(r["copies"] * r["size"] for r in mine) - mine[0]["target"]) <= 60
     assert {(r["doc_id"], r["copies"]) for r in out} == {(r["doc_id"], r["copies"]) for r in mixing.mix(df.repartition(7)).collect()}
     odd = docs.withColumn("size", mixing.size_of(F.col("text")))
-    assert mixing.mix(odd).count() == docs.count()
+    clash = ["k", "s", "n", "p", "q", "_p", "_source", "_k", "slice", "rest", "c0", "_rows"]
+    more = mixing.mix(odd.withColumns({c: F.lit(c) for c in clash})).collect()
+    assert len(more) == docs.count() and {tuple(r[c] for c in clash) for r in more} == {tuple(clash)}
+    assert Counter((r["doc_id"], r["copies"]) for r in more) == Counter((r["doc_id"], r["copies"]) for r in mixing.mix(odd).collect())
     assert mixing.mix(none.withColumn("size", F.lit(0).cast("long"))).count() == 0
 
 
@@ -473,7 +476,10 @@ def test_counted_grams_add_up(rows):
 
 
 def test_quality_figures(docs, none, rows):
-    more = docs.withColumn("kept", F.lit("x")).withColumn("n_words", F.lit("x"))
+    clash = ["_both", "both", "_word_length", "_gl", "_wl", "c0", "_n"]
+    more = docs.withColumn("kept", F.lit("x")).withColumn("n_words", F.lit("x")).withColumns({c: F.lit(c) for c in clash})
+    judged = quality.judge(quality.figures(more)).collect()
+    assert {tuple(r[c] for c in clash) for r in judged} == {tuple(clash)} and {r["kept"] for r in judged} <= {True, False}
     got = {r["text"]: r for r in quality.figures(more).collect()}
     for _, t, *_ in rows:
         x = t or ""
