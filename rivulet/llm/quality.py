@@ -5,8 +5,8 @@ figures give fences (quartiles widened by a multiple of their distance); small g
 which come from merging the same sketches. The fences are joined to the documents and decide.
 
 Defined results: null texts count as empty; null languages and sources form groups of their own; texts of any
-length count whole; repeated rows get equal results; further columns pass through, equal names are replaced; an
-empty table gives an empty one.
+length count whole; repeated rows get equal results; further columns pass through whatever their names, those that are
+appended are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.session import stored
+from rivulet.llm.common import set_apart
 
 SYMBOLS = "#*$%&|<>"
 #: Documents that a language and source need for fences of their own.
@@ -25,6 +26,9 @@ REACH = 6.0
 SKETCH_K = 2048
 
 
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
 
@@ -53,20 +57,20 @@ def _covered(s: Column) -> Column:
 
 def figures(df: DataFrame, text: str = "text") -> DataFrame:
     """Appends n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long)."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    plain, name, back = set_apart(df, *FIGURES)
+    t = F.coalesce(F.col(name[text]), F.lit(""))
     bare = F.translate(t, " \t\n\x0b\f\r", "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
     lines_twice = F.element_at(F.transform(F.array(lines), lambda a: F.size(a) - F.size(F.array_distinct(a))), 1)
     both = F.element_at(F.transform(F.array(_words(t)), lambda w: F.struct(F.size(w).alias("n"), _repeats(w).alias("r"))), 1)
-    return (
-        df.withColumn("_both", both)
-        .withColumn("n_words", F.col("_both.n").cast("long"))
-        .withColumn("word_chars", F.length(bare).cast("long"))
-        .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
-        .withColumn("n_dup_lines", lines_twice.cast("long"))
-        .withColumn("n_repeat_words", F.col("_both.r").cast("long"))
-        .drop("_both")
-    )
+    made = {
+        "n_words": F.col("both.n"),
+        "word_chars": F.length(bare),
+        "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+        "n_dup_lines": lines_twice,
+        "n_repeat_words": F.col("both.r"),
+    }
+    return plain.withColumn("both", both).select(*(F.col(c).alias(n) for c, n in back), *(made[f].cast("long").alias(f) for f in FIGURES))
 
 
 def base_failed() -> Column:
@@ -104,21 +108,23 @@ def _fenced(sketches: DataFrame, reach: float, prefix: str) -> list[Column]:
 
 def judge(df: DataFrame, lang: str = "lang", source: str = "source", least: int = LEAST, reach: float = REACH) -> DataFrame:
     """Appends base_failed and kept to a table with figures, which is read several times."""
+    plain, name, back = set_apart(df, "base_failed", "kept")
     names = list(_measures())
-    measured = df.withColumns({f"_{m}": v for m, (v, *_) in _measures().items()}).withColumn("base_failed", base_failed())
+    measured = plain.withColumns({f: F.col(name[f]) for f in FIGURES} | {"lang": F.col(name[lang]), "source": F.col(name[source])})
+    measured = measured.withColumns({f"_{m}": v for m, (v, *_) in _measures().items()}).withColumn("base_failed", base_failed())
     fine = measured.where(~F.col("base_failed"))
-    group = _sketches(fine, lang, source)
-    wide = group.groupBy(lang).agg(*(F.expr(f"kll_merge_agg_double(_{m}, {SKETCH_K})").alias(f"_{m}") for m in names))
-    own = group.where(F.col("_n") >= least).select(F.col(lang).alias("_gl"), F.col(source).alias("_gs"), *_fenced(group, reach, "_own_"))
-    common = wide.select(F.col(lang).alias("_wl"), *_fenced(wide, reach, "_all_"))
-    joined = measured.join(own, measured[lang].eqNullSafe(F.col("_gl")) & measured[source].eqNullSafe(F.col("_gs")), "left").join(common, measured[lang].eqNullSafe(F.col("_wl")), "left")
+    group = _sketches(fine, "lang", "source")
+    wide = group.groupBy("lang").agg(*(F.expr(f"kll_merge_agg_double(_{m}, {SKETCH_K})").alias(f"_{m}") for m in names))
+    own = group.where(F.col("_n") >= least).select(F.col("lang").alias("_gl"), F.col("source").alias("_gs"), *_fenced(group, reach, "_own_"))
+    common = wide.select(F.col("lang").alias("_wl"), *_fenced(wide, reach, "_all_"))
+    joined = measured.join(own, F.col("lang").eqNullSafe(F.col("_gl")) & F.col("source").eqNullSafe(F.col("_gs")), "left").join(common, F.col("lang").eqNullSafe(F.col("_wl")), "left")
     ok = ~F.col("base_failed")
     for m, (_, low, high, _) in _measures().items():
         if low:
             ok = ok & F.coalesce(F.col(f"_{m}") >= F.coalesce(f"_own_{m}_low", f"_all_{m}_low"), F.lit(True))
         if high:
             ok = ok & F.coalesce(F.col(f"_{m}") <= F.coalesce(f"_own_{m}_high", f"_all_{m}_high"), F.lit(True))
-    return joined.withColumn("kept", ok).select(*df.columns, "base_failed", "kept")
+    return joined.withColumn("kept", ok).select(*(F.col(c).alias(n) for c, n in back), "base_failed", "kept")
 
 
 def rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
