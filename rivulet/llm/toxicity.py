@@ -6,8 +6,9 @@ lexicon's entries, whole words and word beginnings, outside exception phrases. T
 per word and the number of different entries give a score from 0 to 1 by a logistic function.
 
 Lexicon, weights and logistic function are fitted on a bounded sample of labelled rows (``FIT_ROWS``, those with
-the smallest hash of their id). Near copies in it, known by equal minimum word hashes, count once. An entry has to
-be significantly more frequent in toxic texts (``MIN_LOG_P``).
+the smallest hash of their id; of an id with several texts that with the smallest hash). Near copies in it, known by equal
+minimum word hashes, count once. An entry has to be significantly more frequent in toxic texts (``MIN_LOG_P``); all such
+words and word beginnings of the sample are taken.
 
 Defined results: null and empty texts score as texts without a hit; without any labelled row of both kinds all
 texts score 0; rows are answered one by one, so repeated rows get equal scores; ties between entries go by name;
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,11 +35,11 @@ from rivulet.llm.common import mix64, task, utf8, word_hashes
 
 #: Labelled rows that the fit reads at most.
 FIT_ROWS = 20_000
-#: Entries that the lexicon holds at most.
-LEXICON_SIZE = 5_000
 #: Natural logarithm of the chance, at the overall share of toxic texts, that an entry must stay under.
-MIN_LOG_P = -11.5
-PREFIXES = (4, 5, 6)
+MIN_LOG_P = -7.0
+#: Least weight of an entry: the logarithm of how much more frequent it is in toxic texts.
+MIN_WEIGHT = 1.0
+PREFIXES = (4, 5, 6, 7, 8)
 
 # Characters read as Latin letters.
 LOOKALIKES = {
@@ -47,7 +48,12 @@ LOOKALIKES = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l",
 }
 #: Phrases in which an entry doesn't count.
-EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "clown shoes", "idiot proof", "sore loser rule", "pond scum")
+EXCEPTIONS = (
+    "trash can", "trash cans", "trash bin", "trash bins", "trash bag", "trash bags", "trash collection", "trash compactor", "trash truck", "trash day", "take out the trash",
+    "clown fish", "clown shoes", "clown car", "clown college", "circus clown", "class clown", "rodeo clown",
+    "idiot proof", "idiot light", "useful idiot", "the idiot by dostoevsky", "village idiot", "sore loser rule", "sore loser law", "loser bracket", "pond scum", "soap scum", "scum line",
+    "oxymoron", "stupid simple", "stupid hat", "pathetic fallacy", "worthless check", "worthless stock",
+)
 
 
 class _Fold(dict):
@@ -148,19 +154,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
     return b.tolist()
 
 
-def _log_tail(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
-    """A bound on the log chance of k or more successes of n (Chernoff)."""
-    q = np.clip(k / n, p, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = q * np.log(q / p) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - p)), 0)
-    return -n * gain
+def _log_tail(k: Column, n: Column, p: float) -> Column:
+    """A bound on the log chance of k or more successes of n, for k / n above p (Chernoff)."""
+    q = k / n
+    rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    return F.when(q > p, -n * (q * F.log(q / p) + rest)).otherwise(0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", rows: int = FIT_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learns a lexicon from ``labels`` (key, label 0 or 1) and the texts of ``docs``."""
     spark = docs.sparkSession
     chosen = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("_label")).orderBy(F.xxhash64(key), key).limit(rows)
-    sample = stored(docs.select(key, text).join(F.broadcast(chosen), key).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col("_label").cast("int")), "toxicity")
+    named = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen.withColumnRenamed(key, "_key")), "_key")
+    one = F.min(F.struct(F.xxhash64("_text"), "_text"))
+    sample = stored(named.groupBy("_key", F.col("_label").cast("int").alias("_label")).agg(one["_text"].alias("_text")), "toxicity")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,14 +196,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     if not total or not total["pos"] or not total["neg"]:
         return Lexicon({}, [], exceptions)
     pos, neg = total["pos"], total["neg"]
-    share = pos / (pos + neg)
     odds = F.log((F.col("pos") + 0.1) / pos) - F.log((F.col("neg") + 0.1) / neg)
-    likely = counts.where("name <> ''").withColumn("w", odds).where("w > 2.5").orderBy(F.desc("pos"), "name").limit(8 * LEXICON_SIZE).collect()
-    if not likely:
+    chance = _log_tail(F.col("pos"), F.col("pos") + F.col("neg"), pos / (pos + neg))
+    found = counts.where("name <> ''").withColumn("w", odds).where((F.col("w") > MIN_WEIGHT) & (chance < MIN_LOG_P)).collect()  # words of FIT_ROWS texts
+    if not found:
         return Lexicon({}, [], exceptions)
-    tail = _log_tail(np.array([r["pos"] for r in likely], float), np.array([r["pos"] + r["neg"] for r in likely], float), share)
-    found = sorted((t, r["name"], r["w"]) for t, r in zip(tail, likely) if t < MIN_LOG_P)[:LEXICON_SIZE]
-    out = Lexicon({name: float(min(w, 8.0)) for _, name, w in found}, [0.0] * 4, exceptions)
+    out = Lexicon({r["name"]: float(min(r["w"], 8.0)) for r in sorted(found, key=lambda r: r["name"])}, [0.0] * 4, exceptions)
     measured = _measured(once, out, "_text").select("_label", "_measure").collect()  # FIT_ROWS rows at most
     x = _design(np.array([r["_measure"] for r in measured]))
     out.coefficients = _logistic(x, np.array([r["_label"] for r in measured], float))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, embeddings, jaccard, language, licenses, maxent, mixing, op01, quality, repeats, toxicity
+from rivulet.llm import bpe, embeddings, jaccard, language, licenses, maxent, mixing, op01, op07, quality, repeats, toxicity
 from rivulet.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -261,6 +261,31 @@ def test_toxicity_learns_and_folds(spark, none):
     assert [r["score"] for r in toxicity.score(docs.limit(3), empty).collect()] == [0.0] * 3
 
 
+def test_toxicity_scores_by_brute_force(rows):
+    """Places, weights, phrases and the logistic function, counted word by word."""
+    weights = {" trash ": 5.0, " tras": 2.0, " abcd": 1.5, " abc ": 3.0, " one ": 0.5, " idiot ": 4.0}
+    lexicon = toxicity.Lexicon(weights, [-4.0, 1.2, 0.8, 0.3])
+    texts = [t for _, t, *_ in rows] + ["Trash, trashy tr4sh trash can!", "an idiot proof idiot", "abcdef abc ABC one", "trash " * 3000]
+    got = lexicon.score(np.array([lexicon.measure(t) for t in texts]))
+    for t, score in zip(texts, got):
+        words = toxicity.fold(t).split()
+        free = {i + k for p in toxicity.EXCEPTIONS for n in [len(toxicity.fold(p).split())] for i in range(len(words)) if words[i : i + n] == toxicity.fold(p).split() for k in range(n)}
+        total, kinds = 0.0, set()
+        for i, w in enumerate(words):
+            best = max(((x, name) for name, x in weights.items() if (f" {w} ").startswith(name)), default=None)
+            if best and i not in free:
+                total += best[0]
+                kinds.add(best[1])
+        z = -4.0 + 1.2 * np.log1p(total) + 0.8 * np.log1p(100 * total / (len(words) + 20)) + 0.3 * min(len(kinds), 4)
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-9)
+
+
+def test_toxicity_on_held_out_rows(spark, sf):
+    out = op07.op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").groupBy("toxic").agg(F.sum("predicted").alias("hit"), F.count("*").alias("n")).collect()
+    by = {r["toxic"]: (r["hit"], r["n"]) for r in out}
+    assert by[1][0] >= 0.75 * by[1][1] and by[0][0] <= 0.01 * by[0][1]
+
+
 # --- Licences ------------------------------------------------------------------------------------
 
 
