@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from rivulet.llm.common import task
 
-#: Words that a worker remembers; beyond that it starts anew. Bounds memory only, never results.
-CACHE_WORDS = 150_000
+#: Words, and characters of them, that a worker remembers; beyond that it starts anew. Bounds memory only, never results.
+CACHE_WORDS, CACHE_CHARS = 300_000, 8_000_000
 
 
 class OffsetTable:
@@ -97,13 +97,14 @@ class BpeCodec:
                 continue
             self.pair[left, right] = (rank, whole)
             self.parts.setdefault(whole, (rank, left, right))
+        tokens = {s: self.vocab[name] for name, s in symbols.items() if len(s) == 1 or self._reachable(self.vocab[name])}
         self.automaton = ahocorasick.Automaton()
-        self.single = {s: self.vocab[n] for n, s in symbols.items() if len(s) == 1}
-        for name, s in symbols.items():
-            i = self.vocab[name]
-            if len(s) == 1 or self._reachable(i):
-                self.automaton.add_word(s, (len(s), i))
+        for s, i in tokens.items():
+            self.automaton.add_word(s, (len(s), i))
         self.automaton.make_automaton()
+        #: Of each token its symbols, and the longest other token that it begins with, or -1.
+        self.length = {i: len(s) for s, i in tokens.items()}
+        self.shorter = {i: next((tokens[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in tokens), -1) for s, i in tokens.items()}
 
     def _reachable(self, token: int) -> bool:
         """Whether the merges ever make this token out of its own symbols."""
@@ -142,46 +143,36 @@ class BpeCodec:
 
     def encode_symbols(self, s: str) -> list[int]:
         """Token ids of one word given as symbols."""
-        n = len(s)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(s):
-            at[end - match[0] + 1].append(match)
-        able = self.able
-        # First without stepping back: the longest match at every place, as long as neighbours agree.
-        pos, last, out = 0, -1, []
-        while pos < n:
-            if not at[pos]:
-                raise ValueError("a symbol is missing from the vocabulary")
-            size, token = at[pos][-1]
-            if last >= 0 and not able[last, token]:
-                return self._step_back(at, n)
-            out.append(token)
-            last = token
-            pos += size
-        return out
-
-    def _step_back(self, at: list[list[tuple[int, int]]], n: int) -> list[int]:
-        able = self.able
-        dead = bytearray(n + 1)
-        out: list[tuple[int, int]] = []  # (start, place in at[start])
-        pos, choice = 0, len(at[0]) - 1
-        while pos < n:
-            here = at[pos]
-            last = at[out[-1][0]][out[-1][1]][1] if out else -1
-            while choice >= 0:
-                size, token = here[choice]
-                if not dead[pos + size] and (last < 0 or able[last, token]):
+        able, shorter, length, longest = self.able, self.shorter, self.length, self.automaton.iter_long
+        dead: set[int] = set()  # places that no sequence of tokens reaches the end from
+        pos, last, ids = 0, -1, []
+        while True:
+            for end, (size, token) in longest(s, pos):
+                if end - size + 1 != pos:
+                    raise ValueError("a symbol is missing from the vocabulary")
+                if end + 1 in dead or last >= 0 and not able[last, token]:
                     break
-                choice -= 1
-            if choice >= 0:
-                out.append((pos, choice))
-                pos += here[choice][0]
-                choice = len(at[pos]) - 1 if pos < n else -1
+                ids.append(token)
+                last = token
+                pos = end + 1
             else:
-                dead[pos] = 1
-                pos, choice = out.pop()
-                choice -= 1
-        return [at[p][c][1] for p, c in out]
+                if pos < len(s):
+                    raise ValueError("a symbol is missing from the vocabulary")
+                return ids
+            # The longest match can't stand here: the next shorter one that can, or else a shorter one before it.
+            while True:
+                token = shorter[token]
+                while token >= 0 and (pos + length[token] in dead or last >= 0 and not able[last, token]):
+                    token = shorter[token]
+                if token >= 0:
+                    break
+                dead.add(pos)
+                token = ids.pop()
+                pos -= length[token]
+                last = ids[-1] if ids else -1
+            ids.append(token)
+            last = token
+            pos += length[token]
 
     def forget(self) -> None:
         self.number: dict[str, int] = _Made(self._learn)
@@ -189,12 +180,14 @@ class BpeCodec:
         self.able: dict[tuple[int, int], bool] = _Made(lambda pair: self._compatible(*pair))
         self.flat = array("i")
         self.flat_at = array("q", [0])
+        self.held = 0
 
     def _learn(self, chunk: str) -> int:
         """Stores the ids of a chunk of text and returns its number."""
         for word in [chunk] if chunk.isascii() and chunk.isalpha() else self.pieces(chunk):
             self.flat.extend(self.ids[word])
         self.flat_at.append(len(self.flat))
+        self.held += len(chunk)
         return len(self.flat_at) - 2
 
     def _encode_word(self, word: str) -> list[int]:
@@ -210,7 +203,7 @@ class BpeCodec:
             text = text.replace("Σ", "σ").lower()
         # No piece crosses white space, so what stands between is split once and then remembered.
         words = [text] if _SEPARATORS(text) else text.split()
-        if max(len(self.number), len(self.ids), len(self.able)) > CACHE_WORDS:
+        if self.held > CACHE_CHARS or max(len(self.number), len(self.ids), len(self.able)) > CACHE_WORDS:
             self.forget()
         which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         if not len(which):
