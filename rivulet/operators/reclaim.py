@@ -27,4 +27,4 @@ def amplification(log: DataFrame, live: DataFrame) -> DataFrame:
     """Bytes written against bytes still live."""
     total = log.agg(F.count("*").alias("n_records"), F.sum("rec_size").alias("total_bytes"))
     alive = live.agg(F.count("*").alias("n_live"), F.sum("rec_size").alias("live_bytes"))
-    return total.withColumn("_one", F.lit(1)).join(alive.withColumn("_one", F.lit(1)), "_one").drop("_one")  # a row each
+    return total.withColumns({c: alive.select(c).scalar() for c in ("n_live", "live_bytes")})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import re
 
@@ -14,7 +15,8 @@ class ManifestDir:
     """Manifests in a folder of any file system that Spark reaches.
 
     A version is a file written under a temporary name and renamed without overwriting: a reader sees all of a
-    commit or none, and of two writers of the same version one fails.
+    commit or none, and of two writers of the same version one fails. That holds where the file system's rename is atomic
+    and refuses an existing target, as HDFS and local folders do; object stores need a commit service in front.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -61,5 +63,16 @@ class ManifestDir:
             self.fs.delete(temporary, False)
             raise ConflictError(f"version {version} exists")
 
+    def remove(self, version: int) -> None:
+        self.fs.delete(self._file(version), False)
+
+    def folders(self, path: str) -> list[tuple[str, dt.datetime]]:
+        """What lies in a folder, with the times of the last change (UTC)."""
+        at = self._path(path)
+        if not self.fs.exists(at):
+            return []
+        time = lambda ms: dt.datetime.fromtimestamp(ms / 1000, dt.timezone.utc).replace(tzinfo=None)
+        return [(str(s.getPath()), time(s.getModificationTime())) for s in self.fs.listStatus(at)]
+
     def delete_tree(self, path: str) -> None:
         self.fs.delete(self._path(path), True)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
 import uuid
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,37 @@ from rivulet.operators import bloom, changelog, compaction, resolve, runs, tieri
 from rivulet.sources.manifest import ManifestDir
 
 
+#: Bytes of records in one file of a run.
+FILE_BYTES = 128 << 20
+
+
+class Background(threading.Thread):
+    """Runs a job again and again until stopped. A conflict with another writer waits for the next turn; other errors end it."""
+
+    def __init__(self, job: Callable[[], None], every: float):
+        super().__init__(daemon=True)
+        self.job, self.every, self.error = job, every, None
+        self._ended = threading.Event()
+        self.start()
+
+    def run(self) -> None:
+        while not self._ended.wait(self.every):
+            try:
+                self.job()
+            except S.ConflictError:
+                continue
+            except Exception as e:  # kept for stop()
+                self.error = e
+                return
+
+    def stop(self) -> None:
+        """Waits for a job that runs; raises what ended the thread."""
+        self._ended.set()
+        self.join()
+        if self.error is not None:
+            raise self.error
+
+
 def _now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
@@ -28,7 +61,8 @@ class Store:
     """One keyspace under a root folder. One writer at a time; readers keep the version they opened.
 
     Every change writes new files first and then commits a manifest version that names them, so a crash in
-    between leaves orphans that nothing reads.
+    between leaves orphans that nothing reads. Merging and reclaiming only stop naming files: :meth:`vacuum` removes
+    what no retained version names, so a reader is safe for as long as versions are retained.
     """
 
     def __init__(self, spark: SparkSession, name: str, root: str, cfg: S.Config, version: int | None = None):
@@ -166,6 +200,8 @@ class Store:
     def records(self, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
         """All versions that runs and pending batches hold, of runs whose key range meets the interval."""
         df = self._read([r["path"] for r in self._range(low, high)] + [b["path"] for b in self.pending()])
+        if low is not None and low == high:
+            return df.where(F.col("k") == F.lit(bytearray(low)))  # an equality, which asks the runs' Bloom filters too
         if low is not None:
             df = df.where(F.col("k") >= F.lit(bytearray(low)))
         if high is not None:
@@ -202,32 +238,35 @@ class Store:
 
     def log(self) -> DataFrame:
         """Log records still stored, with their offsets."""
-        out = None
-        for b in self.state["batches"]:
-            part = changelog.with_offsets(self._read([b["path"]]), b["offset"])
-            out = part if out is None else out.unionByName(part)
-        return out if out is not None else changelog.with_offsets(self._empty())
+        batches = self.state["batches"]
+        rows = self._read([b["path"] for b in batches])
+        if not batches:
+            return changelog.with_offsets(rows)
+        name = lambda path: path.rsplit("/", 1)[1]
+        begins = self.spark.createDataFrame([(name(b["path"]), b["offset"]) for b in batches], "_batch string, _begin long")  # a row for each batch that the manifest names
+        rows = rows.withColumn("_batch", F.regexp_extract("_metadata.file_path", "/(batch-[0-9a-f]+)/", 1))
+        placed = changelog.with_offsets(rows, by="_batch").join(F.broadcast(begins), "_batch")
+        return placed.withColumn("voff", F.col("voff") + F.col("_begin")).drop("_batch", "_begin")
 
     def n_buffered_keys(self) -> int:
         return self._read([b["path"] for b in self.pending()]).select("k").distinct().count()
 
     # --- runs -----------------------------------------------------------------------------------
 
-    def _write_run(self, entries: DataFrame, expected: int, tier: str | None, hotness: int) -> dict | None:
+    def _write_run(self, entries: DataFrame, expected: int, size: int, tier: str | None, hotness: int) -> dict | None:
+        """Writes entries in key order; ``expected`` and ``size``: at most so many, of so many bytes."""
         path = f"{self.path}/runs/run-{uuid.uuid4().hex}"
-        files = max(1, expected // 5_000_000 + 1)
-        placed = entries.repartitionByRange(files, "k") if files > 1 else entries.coalesce(1)
-        ordered = placed.sortWithinPartitions("k").select(*S.LOG.names)
+        ordered = entries.repartitionByRange(size // FILE_BYTES + 1, "k").sortWithinPartitions("k").select(*S.LOG.names)
         m, _ = bloom.size(max(1, expected), self.cfg.false_positive_rate)
         ordered.write.option("parquet.bloom.filter.enabled#k", "true").option("parquet.bloom.filter.expected.ndv#k", str(max(1, expected))).option("parquet.bloom.filter.max.bytes", str(min(max(m // 8, 1024), 64 << 20))).parquet(path)
-        row = runs.summarise(self._read([path]).withColumn("run_id", F.lit(1))).take(1)
-        if not row:
+        made = self._read([path]).withColumn("run_id", F.lit(1))
+        r = runs.summarise(made).join(made.groupBy("run_id").agg(F.sum(changelog.record_size()).alias("bytes")), "run_id").first()
+        if r is None:
             self._manifests.delete_tree(path)
             return None
-        r = row[0]
         return {
             "path": path, "tier": tier, "min_k": bytes(r["min_k"]).hex(), "max_k": bytes(r["max_k"]).hex(), "n": r["n_entries"], "n_tombstones": r["n_tombstones"],
-            "size": r["size_bytes"], "hotness": hotness, "created_at": _now().isoformat(),
+            "size": r["size_bytes"], "bytes": r["bytes"], "hotness": hotness, "created_at": _now().isoformat(),
         }
 
     def _place(self, run: dict, among: list[dict]) -> list[dict]:
@@ -243,7 +282,7 @@ class Store:
         pending = self.pending()
         if not pending:
             return False
-        run = self._write_run(resolve.latest(self._read([b["path"] for b in pending])), sum(b["n"] for b in pending), None, 0)
+        run = self._write_run(resolve.latest(self._read([b["path"] for b in pending])), sum(b["n"] for b in pending), sum(b["bytes"] for b in pending), None, 0)
         self._commit(runs=self._place(run, self.state["runs"]) if run else self.state["runs"], head=max(b["offset"] for b in pending))
         return run is not None
 
@@ -269,28 +308,79 @@ class Store:
             low, high = min(bytes.fromhex(r["min_k"]) for r in chosen), max(bytes.fromhex(r["max_k"]) for r in chosen)
             alone = not any(bytes.fromhex(r["min_k"]) <= high and bytes.fromhex(r["max_k"]) >= low for r in rest)
             merged = compaction.merge(self._read(sorted(paths)), at, self.cfg, drop_tombstones=alone)
-            run = self._write_run(merged, sum(r["n"] for r in chosen), None, sum(r["hotness"] for r in chosen))
+            run = self._write_run(merged, sum(r["n"] for r in chosen), sum(r.get("bytes", r["size"]) for r in chosen), None, sum(r["hotness"] for r in chosen))
             self._commit(runs=self._place(run, rest) if run else rest)
             merges += 1
-            for p in paths:
-                self._manifests.delete_tree(p)
 
     def reclaim(self) -> dict:
-        """Deletes log batches that runs already hold; runs keep values, times and order, so nothing is rewritten."""
+        """Stops naming log batches that runs already hold; runs keep values, times and order, so nothing is rewritten."""
         done = [b for b in self.state["batches"] if b["offset"] <= self.state["head"]]
         rest = [b for b in self.state["batches"] if b["offset"] > self.state["head"]]
         if done:
             self._commit(batches=rest, tail=max(b["offset"] + b["bytes"] for b in done))
-            for b in done:
-                self._manifests.delete_tree(b["path"])
         return {"batches": len(done), "bytes": sum(b["bytes"] for b in done)}
 
-    def maintain(self, as_of: dt.datetime | None = None) -> None:
-        """What a scheduler calls: flush if full, compact, reclaim."""
+    def collect_garbage(self) -> dict:
+        """Goes through the oldest batches, about ``gc_chunk_bytes`` of them, and writes again what is still needed.
+
+        Needed is a record that no run holds yet and that is its key's newest, deletes included: older values may stand
+        in runs. It keeps its time and number, so the order of records stays.
+        """
+        chosen: list[dict] = []
+        for b in self.state["batches"]:
+            if sum(c["bytes"] for c in chosen) >= self.cfg.gc_chunk_bytes:
+                break
+            chosen.append(b)
+        if not chosen:
+            return {"batches": 0, "bytes": 0, "kept": 0}
+        rest = self.state["batches"][len(chosen) :]
+        held = self._read([b["path"] for b in chosen if b["offset"] > self.state["head"]])
+        newest = resolve.latest(self.records().join(held.select("k").distinct(), "k", "left_semi")).select("k", "created_at", "seq")
+        path = f"{self.path}/log/batch-{uuid.uuid4().hex}"
+        held.join(newest, ["k", "created_at", "seq"], "left_semi").select(*S.LOG.names).write.parquet(path)
+        r = self._read([path]).agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.sum(changelog.record_size()).alias("b")).first()
+        kept = []
+        if r["n"]:
+            kept = [{"path": path, "n": r["n"], "min_seq": r["lo"], "max_seq": r["hi"], "bytes": r["b"], "offset": self.state["log_bytes"]}]
+        else:
+            self._manifests.delete_tree(path)
+        end = max(b["offset"] + b["bytes"] for b in chosen)
+        self._commit(batches=[*rest, *kept], log_bytes=self.state["log_bytes"] + (r["b"] or 0), tail=end)
+        return {"batches": len(chosen), "bytes": sum(b["bytes"] for b in chosen) - (r["b"] or 0), "kept": r["n"]}
+
+    def vacuum(self, retain: dt.timedelta = dt.timedelta(days=7)) -> list[str]:
+        """Removes versions older than ``retain``, the newest excepted, and files that no version left names; returns the files' folders.
+
+        Files written within that time stay too: a commit that names them may follow.
+        """
+        limit = _now() - retain
+        versions = self._manifests.versions()
+        bodies = {v: self._manifests.read(v) for v in versions}
+        old = [v for v in versions[:-1] if dt.datetime.fromisoformat(bodies[v]["last_modified"]) < limit]
+        named = {x["path"].rsplit("/", 1)[1] for v, body in bodies.items() if v not in old for x in [*body["runs"], *body["batches"]]}
+        gone = []
+        for folder in ("log", "runs"):
+            for path, changed in self._manifests.folders(f"{self.path}/{folder}"):
+                if path.rsplit("/", 1)[1] not in named and changed < limit:
+                    gone.append(path)
+        for v in old:
+            self._manifests.remove(v)
+        for path in gone:
+            self._manifests.delete_tree(path)
+        return gone
+
+    def maintain(self, as_of: dt.datetime | None = None, retain: dt.timedelta = dt.timedelta(days=7)) -> None:
+        """What a scheduler calls: flush if full, compact, reclaim, vacuum."""
         if self.full():
             self.flush()
         self.compact(as_of)
         self.reclaim()
+        self.vacuum(retain)
+
+    def start_background_tasks(self, every: float = 300.0, expire: bool = False) -> Background:
+        """Maintains a handle of its own on this keyspace every so many seconds, in a thread, until stopped."""
+        own = self.with_config()
+        return Background(lambda: own.refresh().maintain(_now() if expire else None), every)
 
     def manifest(self) -> DataFrame:
         """The runs as a table."""

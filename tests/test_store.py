@@ -103,3 +103,51 @@ def test_binary_keys_and_as_of(spark, tmp_path):
     assert [bytes(r["v"]) for r in s.as_of(at + dt.timedelta(days=1)).collect()] == [b"1"]
     assert s.n_buffered_keys() == 2
     s.with_config(min_threshold=3).maintain()
+
+
+def test_readers_survive_compaction_and_reclaiming_until_vacuum(spark, tmp_path):
+    s = Store.open(spark, "readers", str(tmp_path), S.Config(min_threshold=2))
+    for i in range(2):
+        s.put_many(spark.createDataFrame([(f"a{i}", "1"), ("b", str(i))], "k string, v string"))
+        s.flush()
+    reader = Store.open(spark, "readers", str(tmp_path))
+    lazy, log = reader.live(), reader.log()
+    assert s.compact() == 1 and s.reclaim()["batches"] == 2
+    assert content(reader) == content(s) and lazy.count() == 3 and log.count() == 4 and reader.get("b") == b"1"
+    assert s.vacuum() == [] and reader.live().count() == 3
+    assert len(s.vacuum(dt.timedelta(0))) == 4  # two merged runs, two reclaimed batches
+    assert content(s) == {"a0": "1", "a1": "1", "b": "1"} and Store.open(spark, "readers", str(tmp_path)).state["version"] == s.state["version"]
+
+
+def test_log_offsets_run_through_all_batches(spark, tmp_path):
+    s = Store.open(spark, "offsets", str(tmp_path))
+    for i in range(3):
+        s.put_many(spark.createDataFrame([(f"k{i}{j}", "v" * (j + 1)) for j in range(5)], "k string, v string"))
+    rows = sorted((r["voff"], r["rec_size"]) for r in s.log().collect())
+    assert rows[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:])) and rows[-1][0] + rows[-1][1] == s.state["log_bytes"]
+
+
+def test_garbage_collection_keeps_the_newest(spark, tmp_path):
+    s = Store.open(spark, "gc", str(tmp_path))
+    s.put_many(spark.createDataFrame([("a", "old"), ("b", "1"), ("c", "1")], "k string, v string"))
+    s.flush()
+    s.put_many(spark.createDataFrame([("a", "new"), ("d", "1")], "k string, v string"))
+    s.delete("c")
+    s.put("d", "2")
+    before = content(s)
+    done = s.collect_garbage()
+    assert done["batches"] == 4 and done["kept"] == 3 and content(s) == before == {"a": "new", "b": "1", "d": "2"}
+    s.flush()
+    assert content(s) == before
+
+
+def test_background_maintenance(spark, tmp_path):
+    s = Store.open(spark, "bg", str(tmp_path))
+    for i in range(2):
+        s.put(f"k{i}", "1")
+    tasks = s.start_background_tasks(every=0.1)
+    end = dt.datetime.now() + dt.timedelta(seconds=60)
+    while not s.refresh().state["runs"] and dt.datetime.now() < end:
+        pass
+    tasks.stop()
+    assert s.refresh().state["runs"] and s.pending() == [] and content(s) == {"k0": "1", "k1": "1"}
