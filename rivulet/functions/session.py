@@ -31,7 +31,7 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/rivulet-{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str, rows: int | None = None, each: int = 100_000) -> DataFrame:
+def stored(df: DataFrame, tag: str, rows: int | None = None, each: int = 20_000) -> DataFrame:
     """Writes ``df`` to the shared folder and returns it as read back: a cut of lineage that survives lost executors.
 
     Where a bound of its rows is known, a small table goes into few files: one for every ``each`` rows.
