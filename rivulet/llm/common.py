@@ -148,6 +148,16 @@ def ranges(blobs: list[tuple[np.ndarray, ...]], n: int) -> Iterator[list[tuple[n
             yield part
 
 
+def sorted_places(keys: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of ``wide`` bits in order, with their places: one sort of plain numbers where both fit into 64 bits."""
+    bits = max(1, len(keys) - 1).bit_length()
+    if wide + bits > 64:
+        order = np.argsort(keys)
+        return keys[order], order
+    both = np.sort((keys << np.uint64(bits)) | np.arange(len(keys), dtype=np.uint64))
+    return both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

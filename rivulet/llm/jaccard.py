@@ -253,7 +253,7 @@ def _possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
 
 def _verified(source: DataFrame, pairs: DataFrame, members: DataFrame, size: int, percent: int, n: int, entries: int) -> DataFrame:
     """Pairs (a, b) whose whole sets have the Jaccard index. Only members of pairs send their sets. n, entries: documents and keys in all."""
-    pairs = stored(pairs, "jaccard-pairs", entries)
+    pairs = stored(pairs, "jaccard-pairs", entries, 100_000)
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     sets = stored(_sets(source, members.join(wanted, "rep", "left_semi").select("rep", "h1", "h2", "first_id"), size), "jaccard-sets", n, 5_000)
     x, y = (sets.select(F.col("rep").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
@@ -334,7 +334,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
     signs = [F.bit_xor(F.xxhash64("rep")).alias("s1"), F.sum(F.shiftrightunsigned(F.xxhash64("rep", F.lit(1)), 24)).alias("s2")]
     counts = mates.groupBy("key").agg(F.count("*").alias("m"), *signs).where("m > 1")
     counts = counts.groupBy("m", "s1", "s2").agg(F.min("key").alias("key"), F.count("*").alias("keys")).select("key", "m", "keys", F.col("m").alias("_rows"))
-    mates = stored(join_spread(mates, counts, "key", entries), "jaccard-groups", entries, 500_000)
+    mates = stored(join_spread(mates, counts, "key", entries), "jaccard-groups", entries, 100_000)
     drop_stored(met)
 
     # Each group's hub is the member that meets most others.

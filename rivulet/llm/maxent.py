@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.session import stored
-from rivulet.llm.common import _LOWER, mix64, prefix_hash, span_hash, task, utf8, word_spans
+from rivulet.llm.common import _LOWER, mix64, prefix_hash, sorted_places, span_hash, task, utf8, word_spans
 
 CLASSES = 24
 BUCKETS = 8192
@@ -324,16 +324,6 @@ def _runs(batches: Iterator[pa.RecordBatch], column: str):
         yield at, held
 
 
-def _sorted(keys: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of ``wide`` bits in order, with their places: one sort of plain numbers where both fit into 64 bits."""
-    bits = max(1, len(keys) - 1).bit_length()
-    if wide + bits > 64:
-        order = np.argsort(keys)
-        return keys[order], order
-    both = np.sort((keys << _U(bits)) | np.arange(len(keys), dtype=_U))
-    return both >> _U(bits), (both & _U((1 << bits) - 1)).astype(np.int64)
-
-
 def _own(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of some texts and their counts among the tokens that train."""
     all_keys = np.sort(keys, axis=None)
@@ -409,7 +399,7 @@ def _answered(bits: int, wide: int):
             at = np.concatenate([np.cumsum(_numbers(r[3], r[2]), dtype=np.uint64) for r in rows])
             n = np.concatenate([_numbers(r[4], r[2]) for r in rows])
             rows = [r[:3] for r in rows]
-            at, order = _sorted(at, 64 if shard >> bits == 0 else wide)
+            at, order = sorted_places(at, 64 if shard >> bits == 0 else wide)
             cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             sums = np.add.reduceat(n[order], cut)
             if shard >> bits == 0:
@@ -429,7 +419,7 @@ def _answered(bits: int, wide: int):
 
 def _found(keys: np.ndarray, sums: np.ndarray, wide: int) -> np.ndarray:
     """The counts of all keys from those of the distinct ones."""
-    x, order = _sorted(keys.ravel(), wide)
+    x, order = sorted_places(keys.ravel(), wide)
     cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     if len(cut) != len(sums):
         raise RuntimeError("the keys of a chunk have changed since they were counted")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import mix64, prefix_hash, ranges, set_apart, span_hash, task, utf8
+from rivulet.llm.common import mix64, prefix_hash, ranges, set_apart, sorted_places, span_hash, task, utf8
 
 #: Bytes of an anchor, of a piece of a very long text, and of the text of one index.
 KMER, PIECE, INDEX_BYTES = 32, 1 << 20, 1 << 19
@@ -82,7 +82,8 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
 class RunIndex:
     """The run-compressed Burrows-Wheeler transform of some strings, each with an end of its own, with samples at run heads."""
 
-    def __init__(self, strings: list[bytes]):
+    def __init__(self, strings: list[bytes], least: int = 0):
+        """``least``: matches shorter than that may be given as shorter still."""
         sizes = np.array([len(s) + 1 for s in strings])
         ends = np.cumsum(sizes) - 1
         text = np.frombuffer(b"\x00".join([*strings, b""]), np.uint8).astype(np.int64) + len(strings)
@@ -93,8 +94,12 @@ class RunIndex:
         head = np.concatenate([[True], left[1:] != left[:-1]])
         at = np.flatnonzero(head)
         here, other = order[at], order[np.maximum(at - 1, 0)]
-        match = self._common(text, ranks, here, other)
-        match[at == 0] = 0
+        match = np.zeros(len(at), np.int64)
+        long = at > 0
+        for depth, rank in ranks:
+            if depth <= least:
+                long[long] = rank[here[long]] == rank[other[long]]
+        match[long] = self._common(text, ranks, here[long], other[long])
         #: Symbols and lengths of the runs; then, by place in the text, the sampled heads, their neighbours and matches.
         self.runs = (left[at], np.diff([*at, len(order)]))
         by = np.argsort(here)
@@ -112,7 +117,8 @@ class RunIndex:
         dense[used + 1] = np.arange(1, len(used) + 1)
         symbol = dense[np.maximum(text - strings, -1) + 1]
         bits, more = int(len(used)).bit_length(), int(strings).bit_length()
-        depth = max(1, (62 - more) // max(bits, 1))
+        wide = 63 - n.bit_length()  # bits of a key beside its place
+        depth = max(1, (max(wide, 32) - more) // max(bits, 1))
         key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
         end = np.zeros(n, np.int64)
         for i in range(depth):
@@ -125,8 +131,7 @@ class RunIndex:
         key = (key << more) | end
         ranks = []
         while True:
-            order = np.argsort(key)
-            k = key[order]
+            k, order = sorted_places(key.view(_U), int(key.max()).bit_length())
             new = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
             rank = np.empty(n, np.int32)  # an index is far smaller than 2**31
             rank[order] = new
@@ -318,7 +323,7 @@ def _marked(length: int):
             if firsts.setdefault(snippets[i], i) != i:
                 later.append(i)
         order = np.fromiter(firsts.values(), np.int64, len(firsts))
-        found = RunIndex(list(firsts))
+        found = RunIndex(list(firsts), length)
         bad = found.repeated(length)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], bad.view(np.int8), [0]])))
         begin, end = edge[::2], edge[1::2]
