@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rivulet.llm.common import task
+from rivulet.llm.common import KEPT, task
 
 #: Words, and characters of them, that a worker remembers; beyond that it starts anew. Bounds memory only, never results.
 CACHE_WORDS, CACHE_CHARS = 300_000, 8_000_000
@@ -261,6 +261,7 @@ def _byte_chars() -> list[str]:
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> BpeCodec:
+    KEPT["bpe"] = codec.cache_clear
     return BpeCodec(path)
 
 
@@ -280,7 +281,7 @@ def _appended(df: DataFrame, path: str, fields: list[T.StructField], column: str
             yield pa.RecordBatch.from_arrays(columns + [pa.array(m, kinds.field(i).type) for i, m in enumerate(made)], names=[f.name for f in keep] + kinds.names)
         codec(path).forget()
 
-    return df.mapInArrow(task(run), T.StructType([*keep, *fields]))
+    return df.mapInArrow(task(run, keep="bpe"), T.StructType([*keep, *fields]))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:

@@ -174,19 +174,29 @@ def give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
-def lean() -> None:
-    """From now on Arrow's buffers come from malloc, and large allocations go back to the system when freed."""
+#: What a worker keeps from task to task, by operator: how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def lean(keep: str | None = None) -> None:
+    """From now on Arrow's buffers come from malloc, and large allocations go back to the system when freed.
+
+    What other operators kept in this worker goes.
+    """
+    for name in [n for n in KEPT if n != keep]:
+        KEPT.pop(name)()
     pa.set_memory_pool(pa.system_memory_pool())
     if hasattr(_LIBC, "mallopt"):  # glibc only
         _LIBC.mallopt(-3, _APART)  # M_MMAP_THRESHOLD
         _LIBC.mallopt(-1, _APART)  # M_TRIM_THRESHOLD
+        _LIBC.malloc_trim(0)
 
 
-def task(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A task's function that holds no freed memory while it runs and gives all back at its end."""
+def task(run: Callable[[Iterator], Iterator], keep: str | None = None) -> Callable[[Iterator], Iterator]:
+    """A task's function that holds no freed memory while it runs and gives all back at its end, but for what ``keep`` names in KEPT."""
 
     def kept_lean(batches: Iterator) -> Iterator:
-        lean()
+        lean(keep)
         try:
             yield from run(batches)
         finally:

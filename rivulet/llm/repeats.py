@@ -86,7 +86,7 @@ class RunIndex:
         """``least``: matches shorter than that may be given as shorter still."""
         sizes = np.array([len(s) + 1 for s in strings])
         ends = np.cumsum(sizes) - 1
-        text = np.frombuffer(b"\x00".join([*strings, b""]), np.uint8).astype(np.int64) + len(strings)
+        text = np.frombuffer(b"\x00".join([*strings, b""]), np.uint8).astype(np.int32) + np.int32(len(strings))
         text[ends] = np.arange(len(strings))
         self.starts, self.n = np.cumsum(sizes) - sizes, len(text)
         order, ranks = self._suffixes(text, len(strings))
@@ -113,14 +113,14 @@ class RunIndex:
         """
         n = len(text)
         used = np.flatnonzero(np.bincount(np.maximum(text - strings, -1) + 1, minlength=257)[1:])
-        dense = np.zeros(257, np.int64)
+        dense = np.zeros(257, np.uint16)
         dense[used + 1] = np.arange(1, len(used) + 1)
         symbol = dense[np.maximum(text - strings, -1) + 1]
         bits, more = int(len(used)).bit_length(), int(strings).bit_length()
         wide = 63 - n.bit_length()  # bits of a key beside its place
         depth = max(1, (max(wide, 32) - more) // max(bits, 1))
         key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
-        end = np.zeros(n, np.int64)
+        end = np.zeros(n, np.int32)
         for i in range(depth):
             key <<= bits
             here = open_[: n - i]
@@ -129,6 +129,7 @@ class RunIndex:
             end[: n - i] += np.where(ends, text[i:] + 1, 0)
             open_[: n - i] &= ~ends
         key = (key << more) | end
+        del symbol, open_, end
         ranks = []
         while True:
             k, order = sorted_places(key.view(_U), int(key.max()).bit_length())
