@@ -6,15 +6,12 @@ No SQL expresses the stages: tests hold them against brute force.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.session import stored
 from rivulet.llm import bpe, jaccard, mixing, op01, op07, repeats, toxicity
-from rivulet.llm.common import table, task, utf8
+from rivulet.llm.common import table, utf8
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,19 +45,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 100 bytes or more that stood earlier; characters cut in part are dropped."""
     docs = _documents(docs)
-    found = repeats.repeats(docs)
-    fields = [f for f in docs.schema.fields]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = []
-            for t, spans in zip(b.column("text"), b.column("spans").to_pylist()):
-                texts.append(None if t.as_py() is None else repeats.rest(utf8(t.as_py()), spans).decode("utf-8", "ignore"))
-            columns = {f.name: b.column(f.name) for f in fields} | {"text": pa.array(texts, pa.string())}
-            columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], b.column("n_chars").type)
-            yield pa.RecordBatch.from_arrays([columns[f.name] for f in fields], names=[f.name for f in fields])
-
-    return found.select(*COLUMNS, "spans").mapInArrow(task(cut), docs.schema).select(*COLUMNS)
+
+    def cut(text: str | None, spans: list[dict]) -> tuple:
+        kept = None if text is None else repeats.rest(utf8(text), spans).decode("utf-8", "ignore")
+        return kept, None if kept is None else len(kept)
+
+    return repeats.repeats(docs, fields=[docs.schema["text"], docs.schema["n_chars"]], answer=cut).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

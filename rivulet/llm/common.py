@@ -189,6 +189,7 @@ def lean(keep: str | None = None) -> None:
     if hasattr(_LIBC, "mallopt"):  # glibc only
         _LIBC.mallopt(-3, _APART)  # M_MMAP_THRESHOLD
         _LIBC.mallopt(-1, _APART)  # M_TRIM_THRESHOLD
+        _LIBC.mallopt(-8, 1)  # M_ARENA_MAX
         _LIBC.malloc_trim(0)
 
 

@@ -34,7 +34,7 @@ from rivulet.llm.components import components
 #: Documents of one block of a large group.
 BLOCK = 512
 #: Entries that a task gathers before it writes them out.
-BATCH_KEYS, BATCH_DOCS = 400_000, 60_000
+BATCH_KEYS, BATCH_DOCS = 300_000, 60_000
 #: Key ranges in which a task compares what it was dealt, one after the other.
 RANGES = 16
 #: Hashes of whole sets that a task gathers before it sends them.

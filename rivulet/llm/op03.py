@@ -3,28 +3,24 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from rivulet.llm import repeats
-from rivulet.llm.common import table, task, utf8
+from rivulet.llm.common import table, utf8
 
+FIELDS = [*(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())]
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for t, spans in zip(b.column("text"), b.column("spans").to_pylist()):
-            x = utf8(t.as_py())
-            rows.append((len(x), sum(s["stop"] - s["start"] for s in spans), len(spans), hashlib.sha256(repeats.rest(x, spans)).hexdigest()))
-        c = list(zip(*rows)) if rows else [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c[i], pa.int64()) for i in range(3)), pa.array(c[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+def _digest(text: str | None, spans: list[dict]) -> tuple:
+    x = utf8(text)
+    return len(x), sum(s["stop"] - s["start"] for s in spans), len(spans), hashlib.sha256(repeats.rest(x, spans)).hexdigest()
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeats.repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return out.select("doc_id", "text", "spans").mapInArrow(task(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = repeats.repeats(table(spark, sf_dir, "documents", "doc_id", "text"), fields=FIELDS, answer=_digest)
+    return out.select("doc_id", *(f.name for f in FIELDS))
 
 
 QUERIES = {"op3_repeats": op3_repeats}

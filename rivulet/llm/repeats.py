@@ -25,7 +25,7 @@ empty table gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ KMER, PIECE, INDEX_BYTES = 32, 1 << 20, 1 << 19
 #: Strings of a run that go together: a few times the longest period that one anchor can cover.
 RUN = 1 << 14
 #: Anchors, snippets and bytes of snippets that a task gathers before it writes them out.
-BATCH, SNIPPETS, SNIPPET_BYTES = 400_000, 40_000, 8 << 20
+BATCH, SNIPPETS, SNIPPET_BYTES = 250_000, 20_000, 4 << 20
 #: Key ranges in which a task compares the anchors that it was dealt, one after the other.
 RANGES = 8
 _U = np.uint64
@@ -362,12 +362,21 @@ def _marked(length: int):
     return task(run)
 
 
-def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
-    """Appends spans: sorted, disjoint byte ranges (start, stop) of the text that are repeated."""
+SPANS = T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))
+
+
+def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, fields: list[T.StructField] | None = None, answer: Callable[[str | None, list[dict]], tuple] | None = None) -> DataFrame:
+    """Appends spans: sorted, disjoint byte ranges (start, stop) of the text that are repeated.
+
+    For callers that need something made of text and spans: ``fields`` instead, with what ``answer(text, spans)`` gives for
+    them, in the same pass; columns of their names are replaced.
+    """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plain, name, back = set_apart(df, "spans")
+    fields, answer = (fields, answer) if fields else ([SPANS], lambda _, spans: (spans,))
+    plain, name, back = set_apart(df, *(f.name for f in fields))
     at, own = name[text], [c for c, _ in back]
+    read = list(dict.fromkeys([*own, at]))
     body, id_ = F.coalesce(F.col(at), F.lit("")), F.col(name[key]).cast("long")
     hashed = lambda seed: F.xxhash64(F.lit(seed), body)  # noqa: E731  the seed first: hashes that are independent
     named = plain.withColumn("ord", F.coalesce(id_, F.lit(2**63 - 1))).withColumn("d1", F.coalesce(id_, hashed(1))).withColumn("d2", hashed(2))
@@ -375,7 +384,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
     same = F.struct(hashed(3), "d2", F.octet_length(body))
     first = named.groupBy(same.alias("same")).agg(F.min(F.struct("ord", "d1", "d2")).alias("f")).select("f.d1", "f.d2", F.lit(True).alias("first"))
     # The one shuffle of texts. All that follows reads the same columns of it, so that it is reused.
-    columns = [*own, "ord", "d1", "d2"]
+    columns = [*read, "ord", "d1", "d2"]
     flagged = named.select(*columns).repartition(parts, "d1", "d2").join(first.hint("shuffle_hash"), ["d1", "d2"], "left")
     firsts = flagged.where("first").select(*columns)
     blobs = firsts.mapInArrow(_anchored(at, length, parts), "bucket int, keys binary, docs binary, places binary")
@@ -388,21 +397,27 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
     whole = flagged.join(each.hint("shuffle_hash"), ["d1", "d2"], "left")
     keep = T.StructType([plain.schema[c] for c in own])
 
+    made = T.StructType([T.StructField(f"x{i}", f.dataType) for i, f in enumerate(fields)])
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = to_arrow_schema(made)
         for b in batches:
-            spans = []
+            rows = []
             for t, is_first, m in zip(b.column(at), b.column("first").to_pylist(), b.column("marks")):
-                if not is_first:
-                    n = len(utf8(t.as_py()))
-                    spans.append([{"start": 0, "stop": n}] if n >= length else [])
+                t = t.as_py()
+                if is_first:
+                    spans = joined([(x["start"], x["stop"] + length - 1) for x in m.as_py() or ()])
                 else:
-                    spans.append(joined([(x["start"], x["stop"] + length - 1) for x in m.as_py() or ()]))
-            made = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in own] + [made], names=[*own, "spans"])
-
-    span = T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))
-    done = whole.select(*columns, "first", "marks").mapInArrow(task(finish), T.StructType([*keep, span]))
-    return done.select(*(F.col(c).alias(n) for c, n in back), "spans")
+                    n = len(utf8(t))
+                    spans = [{"start": 0, "stop": n}] if n >= length else []
+                rows.append(answer(t, spans))
+            new = list(zip(*rows)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in own] + [pa.array(x, kinds.field(i).type) for i, x in enumerate(new)], names=[*own, *kinds.names])
+
+    done = whole.select(*read, "first", "marks").mapInArrow(task(finish), T.StructType([*keep, *made]))
+    return done.select(*(F.col(c).alias(n) for c, n in back), *(F.col(f"x{i}").alias(f.name) for i, f in enumerate(fields)))
 
 
 def joined(ranges: list[tuple[int, int]]) -> list[dict]:
