@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch where the session leaves Spark's own 10,000: a batch of long texts stays small.
-ARROW_ROWS = 2_000
+ARROW_ROWS = 1_000
 _SHIPPED: set[str] = set()
 _OWN_DIR: dict[str, str] = {}
 
