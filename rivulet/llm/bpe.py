@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from rivulet.llm.common import KEPT, task
 
 #: Words, and characters of them, that a worker remembers; beyond that it starts anew. Bounds memory only, never results.
-CACHE_WORDS, CACHE_CHARS = 300_000, 8_000_000
+CACHE_WORDS, CACHE_CHARS = 200_000, 8_000_000
 
 
 class OffsetTable:

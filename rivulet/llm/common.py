@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -183,8 +184,11 @@ def lean(keep: str | None = None) -> None:
 
     What other operators kept in this worker goes.
     """
-    for name in [n for n in KEPT if n != keep]:
+    others = [n for n in KEPT if n != keep]
+    for name in others:
         KEPT.pop(name)()
+    if others:
+        gc.collect()  # what refers to itself
     pa.set_memory_pool(pa.system_memory_pool())
     if hasattr(_LIBC, "mallopt"):  # glibc only
         _LIBC.mallopt(-3, _APART)  # M_MMAP_THRESHOLD

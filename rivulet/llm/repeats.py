@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from rivulet.llm.common import mix64, prefix_hash, ranges, set_apart, sorted_places, span_hash, task, utf8
 
 #: Bytes of an anchor, of a piece of a very long text, and of the text of one index.
-KMER, PIECE, INDEX_BYTES = 32, 1 << 20, 1 << 19
+KMER, PIECE, INDEX_BYTES = 32, 1 << 20, 1 << 18
 #: Strings of a run that go together: a few times the longest period that one anchor can cover.
 RUN = 1 << 14
 #: Anchors, snippets and bytes of snippets that a task gathers before it writes them out.
@@ -416,7 +416,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
             new = list(zip(*rows)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in own] + [pa.array(x, kinds.field(i).type) for i, x in enumerate(new)], names=[*own, *kinds.names])
 
-    done = whole.select(*read, "first", "marks").mapInArrow(task(finish), T.StructType([*keep, *made]))
+    done = whole.select(*columns, "first", "marks").mapInArrow(task(finish), T.StructType([*keep, *made]))
     return done.select(*(F.col(c).alias(n) for c, n in back), *(F.col(f"x{i}").alias(f.name) for i, f in enumerate(fields)))
 
 
