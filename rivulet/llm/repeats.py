@@ -4,7 +4,8 @@ A byte is repeated if a string of ``length`` bytes around it also starts earlier
 same one). Equal texts count once: a later copy is repeated as a whole.
 
 Every string of that length has an anchor, the smallest hash of a k-mer in it; equal strings have equal anchors, and a run
-of strings with one anchor goes together. Python tasks pack anchors into blobs by bucket, and only anchors that occur again
+of strings with one anchor goes together. A hot anchor, one that stands in a large share of all runs, is split: its strings are told apart
+by where the anchor stands in them, in ``SIDES`` steps, and by the bytes that all strings of such a step have in common. Python tasks pack anchors into blobs by bucket, and only anchors that occur again
 go on, each with the snippet of text that its run of strings covers. Snippets of the same anchors meet in one task, which
 concatenates them in document order, builds the run-compressed Burrows-Wheeler transform of the whole and keeps, of the suffix
 array, only samples at the run boundaries. From these it streams the matching statistics of the text against itself:
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rivulet.functions.session import drop_stored, stored
 from rivulet.llm.common import mix64, prefix_hash, ranges, set_apart, sorted_places, span_hash, task, utf8
 
 #: Bytes of an anchor, of a piece of a very long text, and of the text of one index.
@@ -43,23 +45,30 @@ RUN = 1 << 14
 BATCH, SNIPPETS, SNIPPET_BYTES = 250_000, 20_000, 4 << 20
 #: Key ranges in which a task compares the anchors that it was dealt, one after the other.
 RANGES = 8
+#: Parts that the strings of a hot anchor are split into by the anchor's place in them.
+SIDES = 4
+#: An anchor is hot if it has this many runs, and one of this many equal shares of a partition's runs.
+HOT, HOT_SHARES = 1_000, 8
 _U = np.uint64
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, length: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of strings of one anchor: first starts, ends of the starts, anchors, and whether strings of the run can be equal.
 
-    Equal strings have their anchor at the same distance, so in a run with equal ones it stands at several places.
+    Equal strings have their anchor at the same distance, so in a run with equal ones it stands at several places. Runs
+    of the anchors ``hot`` are split by that distance, and named by the bytes that all strings of the part share.
     """
     n = len(data) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, bool)
     width = length - KMER + 1
+    step = -(-width // SIDES)
     firsts, hashes, several = [], [], []
     for start in range(0, n, PIECE):
         part = data[start : min(len(data), start + PIECE + length - 1)]
         k = np.arange(len(part) - KMER + 1)
-        h = span_hash(prefix_hash(part), k, k + KMER)
+        prefix = prefix_hash(part)
+        h = span_hash(prefix, k, k + KMER)
         low = (h & ~_U(0xFFFFFF)) | k.astype(_U)
         size = 1
         while 2 * size <= width:
@@ -72,6 +81,13 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
         new = np.concatenate([[True], low[1:] != low[:-1]])
         new[RUN - 1 - (start - 1) % RUN :: RUN] = True
         first = np.flatnonzero(new)
+        if hot is not None and (split := np.isin(mix64(low[first]), hot)).any():
+            i = np.flatnonzero(np.repeat(split, np.diff(np.append(first, len(low)))))
+            side = (at[i] - i) // step
+            shared = at[i] - side * step
+            low[i] = mix64(low[i] + side.astype(_U)) ^ span_hash(prefix, shared, shared + length - step + 1)
+            new[1:] |= low[1:] != low[:-1]
+            first = np.flatnonzero(new)
         firsts.append(first + start)
         hashes.append(low[first])
         several.append(at[first] != at[np.append(first[1:], len(at)) - 1])
@@ -192,7 +208,56 @@ class RunIndex:
         return out
 
 
-def _anchored(text: str, length: int, buckets: int):
+def _frequent(text: str, length: int, most: int):
+    """Task: (key, n), the anchors of more than one in ``most`` runs of the task, by Misra-Gries; and all runs under a null key.
+
+    A count is short by one in ``most`` of the task's runs at most, and no more than ``most`` anchors are held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n, total = np.zeros(0, _U), np.zeros(0, np.int64), 0
+
+        def folded(new: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            k, c = np.unique(np.concatenate(new), return_counts=True)
+            both, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
+            sums = np.bincount(at, np.concatenate([n, c]), len(both)).astype(np.int64)
+            if len(sums) > most:
+                sums -= np.partition(sums, len(sums) - most - 1)[len(sums) - most - 1]
+            return both[sums > 0], sums[sums > 0]
+
+        waiting, size = [], 0
+        for b in batches:
+            for t in b.column(text):
+                waiting.append(anchors(np.frombuffer(utf8(t.as_py()), np.uint8), length)[2])
+                size += len(waiting[-1])
+                if size >= BATCH:
+                    keys, n = folded(waiting)
+                    total, waiting, size = total + size, [], 0
+        if size:
+            keys, n = folded(waiting)
+            total += size
+        keep = n * most > total
+        yield pa.RecordBatch.from_arrays([pa.array([None, *keys[keep].view(np.int64).tolist()], pa.int64()), pa.array([total, *n[keep].tolist()], pa.int64())], ["key", "n"])
+
+    return task(run)
+
+
+def hot_anchors(df: DataFrame, text: str, length: int) -> np.ndarray:
+    """The anchors whose runs would be a large part of a partition, over all texts.
+
+    Their number grows with the partitions, not with the rows: ``HOT_SHARES`` for each at most, as every one stands for
+    its share of the runs. Tasks' counts may be short by half of that share, so the half is asked for.
+    """
+    shares = HOT_SHARES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = stored(df.select(text).mapInArrow(_frequent(text, length, 2 * shares), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "anchors")
+    total = counts.where("key IS NULL").first()
+    least = max(HOT, (total["n"] if total else 0) // (2 * shares))
+    found = counts.where("key IS NOT NULL").where(F.col("n") >= least).select("key").collect()  # 2 * shares at most
+    drop_stored(counts)
+    return np.sort(np.array([r["key"] for r in found], np.int64).view(_U))
+
+
+def _anchored(text: str, length: int, buckets: int, hot: np.ndarray):
     """Task: anchors to blobs by bucket; anchors shared within a batch have rows of their own, dealt at random."""
 
     def flush(keys: list, docs: list, places: list, several: list, turn: int) -> Iterator[pa.RecordBatch]:
@@ -223,7 +288,7 @@ def _anchored(text: str, length: int, buckets: int):
                 if d in done:
                     continue
                 done.add(d)
-                first, _, h, more = anchors(np.frombuffer(utf8(t.as_py()), np.uint8), length)
+                first, _, h, more = anchors(np.frombuffer(utf8(t.as_py()), np.uint8), length, hot)
                 for at in range(0, len(first), BATCH):
                     keys.append(h[at : at + BATCH])
                     docs.append(d)
@@ -270,7 +335,7 @@ def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _MARK = ["key", "ord", "d1", "d2", "start", "stop", "snippet"]
 
 
-def _snippets(text: str, length: int):
+def _snippets(text: str, length: int, hot: np.ndarray):
     """Task: the snippets of repeated anchors; those that stood earlier in the batch as marks already."""
 
     def flush(found: list) -> Iterator[pa.RecordBatch]:
@@ -296,7 +361,7 @@ def _snippets(text: str, length: int):
                     continue
                 done.add((d1, d2))
                 x = utf8(t.as_py())
-                first, stop, h, _ = anchors(np.frombuffer(x, np.uint8), length)
+                first, stop, h, _ = anchors(np.frombuffer(x, np.uint8), length, hot)
                 for i in np.flatnonzero(np.isin(first, want.values.to_numpy())):
                     s, e = int(first[i]), int(stop[i])
                     found.append((o, d1, d2, s, e, int(h[i].view(np.int64)), x[s : e + length - 1]))
@@ -383,14 +448,15 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
     # The first document of each text; later copies take no part.
     same = F.struct(hashed(3), "d2", F.octet_length(body))
     first = named.groupBy(same.alias("same")).agg(F.min(F.struct("ord", "d1", "d2")).alias("f")).select("f.d1", "f.d2", F.lit(True).alias("first"))
+    hot = hot_anchors(plain, at, length)
     # The one shuffle of texts. All that follows reads the same columns of it, so that it is reused.
     columns = [*read, "ord", "d1", "d2"]
     flagged = named.select(*columns).repartition(parts, "d1", "d2").join(first.hint("shuffle_hash"), ["d1", "d2"], "left")
     firsts = flagged.where("first").select(*columns)
-    blobs = firsts.mapInArrow(_anchored(at, length, parts), "bucket int, keys binary, docs binary, places binary")
+    blobs = firsts.mapInArrow(_anchored(at, length, parts, hot), "bucket int, keys binary, docs binary, places binary")
     blobs = blobs.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
     again = blobs.mapInArrow(_again, "d1 long, d2 long, place int").groupBy("d1", "d2").agg(F.collect_set("place").alias("places"))
-    found = firsts.join(again.hint("shuffle_hash"), ["d1", "d2"]).select(*columns, "places").mapInArrow(_snippets(at, length), "key long, ord long, d1 long, d2 long, start long, stop long, snippet binary")
+    found = firsts.join(again.hint("shuffle_hash"), ["d1", "d2"]).select(*columns, "places").mapInArrow(_snippets(at, length, hot), "key long, ord long, d1 long, d2 long, start long, stop long, snippet binary")
     dealt = found.repartition(parts, "key").sortWithinPartitions("key")
     marks = dealt.mapInArrow(_marked(length), "d1 long, d2 long, start long, stop long")
     each = marks.groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))

@@ -139,6 +139,28 @@ def test_repeats_brute_force(docs, none, rows):
     assert {tuple(r[c] for c in clash) for r in out.collect()} == {tuple(clash)}
 
 
+def test_repeats_of_hot_anchors(spark, docs, rows, monkeypatch):
+    """Every anchor split, and only that of a common line: the same spans as without."""
+    line, tail = "the same words stand in each of these texts, in a line of its own", words_of(40, 31)
+    more = [(100 + i, f"{words_of(30, 40 + i)}\n{line}\n{tail if i % 3 == 0 else words_of(30, 80 + i)}", "en", "s1", 1) for i in range(40)]
+    df = docs.unionByName(spark.createDataFrame(more, docs.schema)).repartition(5)
+    spans = lambda: Counter((r["doc_id"], r["text"], str(r["spans"])) for r in repeats.repeats(df).collect())
+    monkeypatch.setattr(repeats, "HOT", 10**9)
+    assert not len(repeats.hot_anchors(df, "text", 100))
+    plain = spans()
+    monkeypatch.setattr(repeats, "HOT", 1)
+    monkeypatch.setattr(repeats, "HOT_SHARES", 10**7)
+    every = repeats.hot_anchors(df, "text", 100)
+    assert len(every) == len(set(np.concatenate([repeats.anchors(np.frombuffer((t or "").encode(), np.uint8), 100)[2] for t in [r[1] for r in [*rows, *more]]]).tolist()))
+    assert spans() == plain
+    monkeypatch.setattr(repeats, "HOT", 30)
+    monkeypatch.setattr(repeats, "HOT_SHARES", 200)
+    few = repeats.hot_anchors(df, "text", 100)
+    assert 1 <= len(few) < 20 and spans() == plain
+    of = [set(repeats.anchors(np.frombuffer(t.encode(), np.uint8), 100, few)[2].tolist()) for _, t, *_ in more]
+    assert not of[1] & of[2]  # different surroundings of the line meet nowhere
+
+
 def test_repeats_in_long_periodic_texts(spark):
     """Ten million letters of one kind, shorter and longer periods, and a long text twice: memory and figures stay in bounds."""
     long = words_of(200_000, 21)
@@ -150,7 +172,14 @@ def test_repeats_in_long_periodic_texts(spark):
 
 def test_anchors_are_few_and_cover_all():
     for text in (b"x" * 100_000, b"ab" * 3000, words_of(3000, 4).encode(), b"z" * 100, b"short"):
-        first, stop, keys, several = repeats.anchors(np.frombuffer(text, np.uint8), 100)
+        data = np.frombuffer(text, np.uint8)
+        first, stop, keys, _ = repeats.anchors(data, 100, np.sort(repeats.anchors(data, 100)[2]))
+        assert (first[1:] == stop[:-1]).all() and (not len(first) or (first[0], stop[-1]) == (0, len(text) - 99))
+        where = {}  # equal strings have equal anchors
+        for s, e, k in zip(first.tolist(), stop.tolist(), keys.tolist()):
+            for p in range(s, min(e, 5000)):
+                assert where.setdefault(text[p : p + 100], k) == k
+        first, stop, keys, several = repeats.anchors(data, 100)
         assert (first[1:] == stop[:-1]).all() and (not len(first) or (first[0], stop[-1]) == (0, len(text) - 99))
         if len(set(text)) < 3:
             assert several.all() == (len(text) > 100) and len(set(keys.tolist())) <= 1 and len(first) <= len(text) // repeats.RUN + 2
