@@ -38,7 +38,7 @@ from rivulet.functions.session import drop_stored, stored
 from rivulet.llm.common import mix64, prefix_hash, ranges, set_apart, sorted_places, span_hash, task, utf8
 
 #: Bytes of an anchor, of a piece of a very long text, and of the text of one index.
-KMER, PIECE, INDEX_BYTES = 32, 1 << 20, 1 << 18
+KMER, PIECE, INDEX_BYTES = 32, 1 << 18, 1 << 18
 #: Strings of a run that go together: a few times the longest period that one anchor can cover.
 RUN = 1 << 14
 #: Anchors, snippets and bytes of snippets that a task gathers before it writes them out.
